@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwright.session import importable
+
 #: A join side may be broadcast only while it has at most this many rows of at most this many bytes.
 BROADCAST_ROWS = 400_000
 BROADCAST_ROW_BYTES = 64
@@ -34,7 +36,7 @@ class Tables:
     """Written intermediate tables of one operator call; ``drop`` frees those no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = importable(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -55,7 +57,7 @@ class Tables:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

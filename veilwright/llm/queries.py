@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilwright.llm.common import documents
 from veilwright.llm.exact_dedup import exact_dedup
+from veilwright.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +25,10 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES["op5_simhash_dedup"] = op5_simhash_dedup
