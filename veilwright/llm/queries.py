@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilwright.llm.common import documents
 from veilwright.llm.exact_dedup import exact_dedup
+from veilwright.llm.media import text_media
+from veilwright.llm.pii import find_personal_data
 from veilwright.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +34,16 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_simhash_dedup"] = op5_simhash_dedup
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return text_media(documents(spark, sf_dir)).select(*columns)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
+QUERIES["op2_media_columns"] = op2_media_columns
+QUERIES["op7_pii"] = op7_pii
