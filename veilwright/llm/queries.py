@@ -11,6 +11,7 @@ from veilwright.llm.exact_dedup import exact_dedup
 from veilwright.llm.media import text_media
 from veilwright.llm.pii import find_personal_data
 from veilwright.llm.simhash import near_duplicates
+from veilwright.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +48,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op2_media_columns"] = op2_media_columns
 QUERIES["op7_pii"] = op7_pii
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES["op6_toxicity"] = op6_toxicity
