@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from veilwright.llm.bpe import round_trip
 from veilwright.llm.common import documents
 from veilwright.llm.exact_dedup import exact_dedup
 from veilwright.llm.media import text_media
@@ -13,6 +15,8 @@ from veilwright.llm.pii import find_personal_data
 from veilwright.llm.simhash import near_duplicates
 from veilwright.llm.toxicity import toxicity
 
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -55,3 +59,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_toxicity"] = op6_toxicity
+
+
+def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
+QUERIES["op9_bpe_roundtrip"] = op9_bpe_roundtrip
