@@ -11,6 +11,7 @@ from veilwright.llm.bpe import round_trip
 from veilwright.llm.common import documents
 from veilwright.llm.exact_dedup import exact_dedup
 from veilwright.llm.media import text_media
+from veilwright.llm.packing import pack
 from veilwright.llm.pii import find_personal_data
 from veilwright.llm.simhash import near_duplicates
 from veilwright.llm.toxicity import toxicity
@@ -66,3 +67,10 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_bpe_roundtrip"] = op9_bpe_roundtrip
+
+
+def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
+QUERIES["op8_bm25_packing"] = op8_bm25_packing
