@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilwright.llm.bpe import round_trip
 from veilwright.llm.common import documents
@@ -13,6 +14,7 @@ from veilwright.llm.exact_dedup import exact_dedup
 from veilwright.llm.media import text_media
 from veilwright.llm.packing import pack
 from veilwright.llm.pii import find_personal_data
+from veilwright.llm.quality import resample
 from veilwright.llm.simhash import near_duplicates
 from veilwright.llm.toxicity import toxicity
 
@@ -74,3 +76,12 @@ def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_bm25_packing"] = op8_bm25_packing
+
+
+def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    share = labels.agg(F.avg("quality")).first()[0]
+    return resample(documents(spark, sf_dir), labels.where("quality = 1"), share=share)
+
+
+QUERIES["op4_quality_resampling"] = op4_quality_resampling
