@@ -15,6 +15,7 @@ from veilwright.llm.media import text_media
 from veilwright.llm.packing import pack
 from veilwright.llm.pii import find_personal_data
 from veilwright.llm.quality import resample
+from veilwright.llm.secrets import scan_secrets
 from veilwright.llm.simhash import near_duplicates
 from veilwright.llm.toxicity import toxicity
 from veilwright.llm.warc import resolve_revisits
@@ -147,3 +148,10 @@ SELECT p AS page_id, canonical,
             ELSE 'content-length=0;date=' || ts END AS headers
 FROM found
 """
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir), path_col="source")
+
+
+QUERIES["op3_secret_scan"] = op3_secret_scan
