@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilwright.config import COMPACT_TYPES, NEVER_FUZZY, OTHER_PLACEHOLDER, PLACEHOLDERS, PRIORITY
 
 #: White space as browsers see it; Java's ``\s`` and SQL's trim know less of it.
-SPACE = r"\t-\r    -     　﻿"
+SPACE = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: A word boundary over ASCII word characters only.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -24,6 +24,9 @@ PUNCTUATION = r"^[.,@_\-/:;?!]+$"
 VALID_EMAIL = r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+$"
 
 
+SPAN = "struct<type:string,text:string,confidence:double,reason:string,start:int,end:int>"
+
+
 def literal(pattern: str) -> str:
     """A pattern or text as a SQL string literal."""
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -75,17 +78,18 @@ def detect_sql(text: str, strict: bool = False) -> str:
     # a card match may end in separators: they belong to the match but not to the value
     cut = "regexp_replace(m.text, ' +$', '')"
 
-    def rows(kind: str, pattern: str, where: str, value: str, confidence: float, reason: str) -> str:
+    def rows(kind: str, pattern: str, where: str, value: str, confidence: float, reason: str, guard: str) -> str:
         made = f"named_struct('type', '{kind}', 'text', {value}, 'confidence', {confidence}D, 'reason', '{reason}', 'start', m.start, 'end', m.start + length({value}))"
-        return f"transform(filter({matches_sql(text, pattern)}, m -> {where}), m -> {made})"
+        found = f"transform(filter({matches_sql(text, pattern)}, m -> {where}), m -> {made})"
+        return f"case when {guard} then {found} else cast(array() as array<{SPAN}>) end"  # the guard is cheap and rarely passes
 
     return (
         "concat("
-        + rows("EMAIL", EMAIL, "true", "m.text", 0.99, "email-regex")
+        + rows("EMAIL", EMAIL, "true", "m.text", 0.99, "email-regex", f"contains({text}, '@')")
         + ", "
-        + rows("PHONE", STRICT_PHONE if strict else PHONE, f"length({phone}) = 10 or (length({phone}) = 12 and startswith({phone}, '91'))", "m.text", 0.95, "indian-phone-regex")
+        + rows("PHONE", STRICT_PHONE if strict else PHONE, f"length({phone}) = 10 or (length({phone}) = 12 and startswith({phone}, '91'))", "m.text", 0.95, "indian-phone-regex", f"{text} rlike '[6-9][0-9]{{4}}'")
         + ", "
-        + rows("CARD", CARD, luhn_sql(digits_sql("m.text")), cut, 0.99, "luhn-card-regex")
+        + rows("CARD", CARD, luhn_sql(digits_sql("m.text")), cut, 0.99, "luhn-card-regex", f"{text} rlike '([0-9][ -]*){{13}}'")
         + ")"
     )
 
