@@ -7,6 +7,7 @@ from urllib.parse import quote, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Schemes that may leave, and default ports.
 SCHEMES = ("http", "https", "chrome-extension")
@@ -55,7 +56,7 @@ def sanitize(raw: str | None) -> str:
     return f"{scheme}://{host}{shown}/" + "/".join(kept)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _sanitize_udf(urls: pd.Series) -> pd.Series:
     return urls.map(sanitize)
 

@@ -91,8 +91,8 @@ def address_clusters(addresses: DataFrame) -> DataFrame:
     return placed.withColumn("valid", (F.count(F.lit(1)).over(w) >= 2) & valid_cluster(F.collect_set("type").over(w)))
 
 
-def context_filter(detections: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept detections, renumbered in the filter's order; trace row per observation)."""
+def context_filter(detections: DataFrame, observations: DataFrame) -> DataFrame:
+    """The kept detections, renumbered in the filter's order: untouched ones, names, address clusters."""
     routed = detections.withColumn("route", route(F.col("type"), F.col("source"), F.col("confidence")))
     passed = routed.where("route = 'pass'").withColumns({"band": F.lit(0), "o1": F.col("det_ord"), "o2": F.lit(0)})
     names = supported_names(routed.where("route = 'name'")).withColumns({"band": F.lit(1), "o1": F.col("det_ord"), "o2": F.lit(0)})
@@ -101,8 +101,13 @@ def context_filter(detections: DataFrame, observations: DataFrame) -> tuple[Data
     columns = ["observation_id", "band", "o1", "o2", *DETECTION_COLUMNS]
     kept = passed.select(columns).unionByName(names.select(columns)).unionByName(found.select(columns))
     order = Window.partitionBy("observation_id").orderBy("band", "o1", "o2")
-    out = kept.select("observation_id", (F.row_number().over(order) - 1).alias("det_ord"), *DETECTION_COLUMNS)
+    return kept.select("observation_id", (F.row_number().over(order) - 1).alias("det_ord"), *DETECTION_COLUMNS)
+
+
+def filter_trace(detections: DataFrame, kept: DataFrame) -> DataFrame:
+    """Counts per observation of what the filter saw, rejected and passed on."""
+    routed = detections.withColumn("route", route(F.col("type"), F.col("source"), F.col("confidence")))
     before = routed.groupBy("observation_id").agg(F.count(F.lit(1)).alias("total_raw"), F.count_if(F.col("source") == "RAMPART").alias("tagged_before"), F.count_if(F.col("route") == "low").alias("tagged_low_confidence"))
-    after = out.groupBy("observation_id").agg(F.count(F.lit(1)).alias("passed_to_fusion"))
+    after = kept.groupBy("observation_id").agg(F.count(F.lit(1)).alias("passed_to_fusion"))
     trace = before.join(after, "observation_id", "left").withColumn("passed_to_fusion", F.coalesce("passed_to_fusion", F.lit(0)))
-    return out, trace.withColumn("tagged_rejected", F.col("total_raw") - F.col("passed_to_fusion"))
+    return trace.withColumn("tagged_rejected", F.col("total_raw") - F.col("passed_to_fusion"))

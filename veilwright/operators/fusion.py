@@ -150,7 +150,7 @@ _C = "coalesce(m.confidence, 0.5D)"
 def fused_confidence_sql(members: str) -> str:
     """SQL: the best confidence, raised by 15 % of the headroom times the best of each other source key in order of appearance."""
     best = f"array_max(transform({members}, m -> {_C}))"
-    lead = f"filter({members}, m -> {_C} = {best})[0].key"
+    lead = f"get(filter({members}, m -> {_C} = {best}), 0).key"
     others = f"array_distinct(transform(filter({members}, m -> m.key <> {lead}), m -> m.key))"
     fold = f"aggregate({others}, {best}, (c, k) -> c + (1 - c) * (0.15D * array_max(transform(filter({members}, m -> m.key = k), m -> {_C}))))"
     return f"least(1D, floor({fold} * 1000 + 0.5D) / 1000)"
@@ -159,24 +159,24 @@ def fused_confidence_sql(members: str) -> str:
 def canonical(rows: DataFrame) -> DataFrame:
     """One row per entity of clustered rows (with ``root``), numbered by first member: fields, sources, evidence."""
     fields = ["det_ord", *DETECTION_COLUMNS, "norm_box", "key", "priority", "quality"]
-    packed = rows.groupBy("observation_id", "root").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("m"))
-    ranked = "transform(array_sort(transform(m, x -> named_struct('p', -x.priority, 'c', -coalesce(x.confidence, 0D), 'o', x.det_ord, 'x', x))), r -> r.x)"
-    p = packed.withColumn("n", F.size("m")).withColumn("r", F.expr(ranked)).withColumn("one", F.expr("m[0]"))
-    best_text = "array_max(transform(filter(m, x -> x.quality is not null), x -> named_struct('q', x.quality, 'o', -x.det_ord, 't', x.text))).t"
-    first = "filter(r, x -> x.{0} is not null and x.{0} <> '')[0].{0}"
-    evidence = "transform(m, x -> named_struct('source', x.source, 'confidence', x.confidence, 'text', x.text, 'bbox', x.bbox, 'element_id', x.element_id, 'reason', x.reason, 'context_source', x.context_source, 'ocr_confidence', x.ocr_confidence, 'start', x.start, 'end', x.end))"
+    packed = rows.groupBy("observation_id", "root").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("mm"))
+    ranked = "transform(array_sort(transform(mm, x -> named_struct('p', -x.priority, 'c', -coalesce(x.confidence, 0D), 'o', x.det_ord, 'x', x))), r -> r.x)"
+    p = packed.withColumn("n", F.size("mm")).withColumn("r", F.expr(ranked)).withColumn("one", F.expr("mm[0]"))
+    best_text = "array_max(transform(filter(mm, x -> x.quality is not null), x -> named_struct('q', x.quality, 'o', -x.det_ord, 't', x.text))).t"
+    first = "get(filter(r, x -> x.{0} is not null and x.{0} <> ''), 0).{0}"
+    evidence = "transform(mm, x -> named_struct('source', x.source, 'confidence', x.confidence, 'text', x.text, 'bbox', x.bbox, 'element_id', x.element_id, 'reason', x.reason, 'context_source', x.context_source, 'ocr_confidence', x.ocr_confidence, 'start', x.start, 'end', x.end))"
     many = {
         "type": "r[0].type",
         "source": "'FUSED'",
         "context_source": f"coalesce(nullif(r[0].context_source, ''), {first.format('context_source')})",
         "element_id": first.format("element_id"),
-        "confidence": fused_confidence_sql("m"),
+        "confidence": fused_confidence_sql("mm"),
         "reason": "r[0].reason",
-        "bbox": "transform(array(filter(r, x -> x.bbox.x is not null)[0]), x -> coalesce(x.norm_box, x.bbox))[0]",
+        "bbox": "transform(array(get(filter(r, x -> x.bbox.x is not null), 0)), x -> coalesce(x.norm_box, x.bbox))[0]",
         "start": "cast(null as int)",
         "end": "cast(null as int)",
         "region_index": "cast(null as int)",
-        "ocr_confidence": "array_max(transform(m, x -> x.ocr_confidence))",
+        "ocr_confidence": "array_max(transform(mm, x -> x.ocr_confidence))",
     }
     chosen = [F.expr(f"case when n = 1 then one.{k} else {v} end").alias(k) for k, v in many.items() if k != "region_index"]
     # an entity of one row keeps its box as it was found, and no region

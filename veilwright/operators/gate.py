@@ -44,7 +44,7 @@ def holds_forbidden_key(value) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def json_holds_forbidden_key(texts: pd.Series) -> pd.Series:
     """For JSON texts; broken or null JSON counts as holding one."""
 

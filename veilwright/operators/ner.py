@@ -14,6 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from veilwright.functions.text import PUNCTUATION
 from veilwright.operators.detect import as_detections
@@ -216,7 +217,7 @@ def tagged_spans(items: DataFrame, factory: Callable[[], Tagger]) -> DataFrame:
 
     kind = items.sparkSession.createDataFrame([], f"spans array<struct<{SPAN_FIELDS}>>").schema["spans"].dataType
     arrow, at = to_arrow_type(kind), items.columns.index("text")
-    schema = items.schema.add("spans", kind)
+    schema = StructType([*items.schema.fields, StructField("spans", kind)])
 
     def run(batches):
         tagger = _loaded(factory)

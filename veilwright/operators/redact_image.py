@@ -18,7 +18,7 @@ def mask_rectangles(fused: DataFrame, observations: DataFrame, config: EngineCon
     """
     o = observations.where("canvas.width > 0 and canvas.height > 0").select("observation_id", "canvas", scale(F.col("viewport"), F.col("canvas"), F.col("dpr")).alias("by"))
     sized = "{0}.x is not null and {0}.y is not null and {0}.width > 0 and {0}.height > 0"
-    seen = F.expr(f"filter(evidence, e -> (e.source = 'OCR' or e.context_source = 'OCR') and {sized.format('e.bbox')})[0].bbox")
+    seen = F.expr(f"get(filter(evidence, e -> (e.source = 'OCR' or e.context_source = 'OCR') and {sized.format('e.bbox')}), 0).bbox")
     own = F.col("bbox")
     scaled = F.when(F.expr(sized.format("bbox")), F.when(F.col("by").isNotNull(), box(own["x"] * F.col("by.x"), own["y"] * F.col("by.y"), own["width"] * F.col("by.x"), own["height"] * F.col("by.y"))).otherwise(own))
     wanted = F.expr(f"coalesce({sized.format('bbox')}, false) or exists(evidence, e -> coalesce(e.bbox.x is not null and e.bbox.width > 0 and e.bbox.height > 0, false))")

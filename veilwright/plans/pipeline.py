@@ -14,6 +14,7 @@ from veilwright.operators import context, detect, fusion, gate, ner, redact_imag
 from veilwright.session import importable
 from veilwright.sources import images as screens
 from veilwright.sources import ocr
+from veilwright.stages import Tables
 
 
 @dataclass
@@ -30,7 +31,7 @@ class Inputs:
 
 @dataclass
 class Result:
-    """Every stage as a DataFrame; nothing runs until one is used."""
+    """Every stage as a DataFrame.  Detections, kept detections, entities and redaction are written tables; the rest is lazy."""
 
     detections: DataFrame
     filtered: DataFrame
@@ -70,10 +71,12 @@ def execute(inputs: Inputs, tagger: Callable = ner.dictionary_tagger, config: En
     spark = importable(inputs.observations.sparkSession)
     o = inputs.observations
     regions = _or_empty(spark, inputs.regions, schemas.REGIONS)
-    raw = all_detections(inputs, tagger, config)
-    kept, filtering = context.context_filter(raw, o)
-    fused = fusion.fuse(kept, o)
-    text = redact_text.redact_observations(o, regions, fused, config)
+    tables = Tables(spark, "engine")  # each stage joins the one before with itself: plans must not nest
+    raw = tables.write(all_detections(inputs, tagger, config))
+    kept = tables.write(context.context_filter(raw, o))
+    filtering = context.filter_trace(raw, kept)
+    fused = tables.write(fusion.fuse(kept, o))
+    text = tables.write(redact_text.redact_observations(o, regions, fused, config))
     masks = redact_image.mask_rectangles(fused, o, config)
     shown = redact_image.screen_results(masks, o)
     if inputs.images is not None:
