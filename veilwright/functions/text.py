@@ -43,7 +43,9 @@ def squeeze(c: Column, by: str = " ") -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return squeeze(trim(c))
+    """Trimmed, with single spaces; texts that only have single ordinary spaces skip the replacement."""
+    odd = c.rlike(rf"[{SPACE.replace(' ', '', 1)}]") | F.contains(c, F.lit("  "))
+    return F.when(odd, squeeze(trim(c))).otherwise(F.trim(c))
 
 
 def round_half_up(c: Column, digits: int = 0) -> Column:

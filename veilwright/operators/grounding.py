@@ -19,7 +19,10 @@ def intervals_sql(words: str, text: str, honour_offsets: bool) -> str:
     add = "concat(a.o, array(named_struct('s', {s}, 'e', {e}, 'b', w.b)))"
     at = "transform(array({found}), p -> case when p >= 0 then named_struct('c', p + length(w.t), 'o', {hit}) else named_struct('c', a.c + length(w.t) + 1, 'o', {miss}) end)[0]".format(found=found, hit=add.format(s="p", e="p + length(w.t)"), miss=add.format(s="a.c", e="a.c + length(w.t)"))
     step = f"case when w.s is not null and w.e is not null and coalesce({text}, '') <> '' then named_struct('c', a.c, 'o', {add.format(s='w.s', e='w.e')}) else {at} end" if honour_offsets else at
-    return f"aggregate({clean}, named_struct('c', 0, 'o', cast(array() as {_ROWS})), (a, w) -> {step}, a -> a.o)"
+    fold = f"aggregate(x, named_struct('c', 0, 'o', cast(array() as {_ROWS})), (a, w) -> {step}, a -> a.o)"
+    if honour_offsets:  # where every word has its offsets there is no cursor to carry
+        fold = f"case when coalesce({text}, '') <> '' and forall(x, w -> w.s is not null and w.e is not null) then transform(x, w -> named_struct('s', w.s, 'e', w.e, 'b', w.b)) else {fold} end"
+    return f"transform(array({clean}), x -> {fold})[0]"
 
 
 def span_box_sql(words: str, start: str, end: str, text: str, honour_offsets: bool) -> str:

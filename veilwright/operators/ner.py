@@ -14,13 +14,14 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from veilwright.functions.text import PUNCTUATION
 from veilwright.operators.detect import as_detections
 from veilwright.operators.grounding import ground, overlapping_confidence_sql
-from veilwright.schemas import SPAN_FIELDS, WORD
+from veilwright.schemas import TOKENS, WORD
 
+_SPANS = ArrayType(StructType().add("type", StringType()).add("text", StringType()).add("confidence", DoubleType()).add("reason", StringType()).add("start", IntegerType()).add("end", IntegerType()))
 _MARKS = re.compile("[̀-ͯ]")
 _PUNCTUATION = re.compile(PUNCTUATION)
 
@@ -206,31 +207,28 @@ def token_rows(items: DataFrame, factory: Callable[[], Tagger] = dictionary_tagg
             names = [*keys, "tok_ord", "entity", "score", "tok_index", "word", "start", "end"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    from veilwright.schemas import TOKENS
-
     return items.select(*keys, "text").mapInArrow(run, TOKENS)
 
 
 def tagged_spans(items: DataFrame, factory: Callable[[], Tagger]) -> DataFrame:
-    """``items`` with ``spans``: the detections of each text; a text on which the tagger fails has none."""
-    from pyspark.sql.pandas.types import to_arrow_type
+    """``items`` with ``spans``: the detections of each text; a text on which the tagger fails has none.
 
-    kind = items.sparkSession.createDataFrame([], f"spans array<struct<{SPAN_FIELDS}>>").schema["spans"].dataType
-    arrow, at = to_arrow_type(kind), items.columns.index("text")
-    schema = StructType([*items.schema.fields, StructField("spans", kind)])
+    Only the texts go to the workers; words and boxes stay where they are.
+    """
 
-    def run(batches):
-        tagger = _loaded(factory)
-        for batch in batches:
-            out = []
-            for text in batch.column(at).to_pylist():
-                try:
-                    out.append(entity_spans(text, tagger(text)) if text else [])
-                except Exception:  # one text must not stop the others
-                    out.append([])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], schema.names)
-
-    return items.mapInArrow(run, schema)
+    @F.arrow_udf(_SPANS)
+    def tag(texts: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        tagger, out = _loaded(factory), []
+        for text in texts.to_pylist():
+            try:
+                out.append(entity_spans(text, tagger(text)) if text else [])
+            except Exception:  # one text must not stop the others
+                out.append([])
+        return pa.array(out, to_arrow_type(_SPANS))
+
+    return items.withColumn("spans", tag("text"))
 
 
 def detect_dom(regions: DataFrame, factory: Callable[[], Tagger]) -> DataFrame:

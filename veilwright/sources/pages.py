@@ -10,17 +10,22 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from veilwright.config import HIDDEN_PARENTS
-from veilwright.functions.text import collapse, trim
+from veilwright.functions.text import SPACE, collapse, trim
 from veilwright.schemas import ELEMENT_FIELDS, REGION_FIELDS
 
 LINE, HEIGHT, ADVANCE = 20, 16, 8
 PAGE_WIDTH, PAGE_HEIGHT = 1280, 720
 
+_BOX = StructType([StructField(k, DoubleType()) for k in ("x", "y", "width", "height")])
+_WORDS = ArrayType(StructType([StructField("text", StringType()), StructField("bbox", _BOX), StructField("confidence", DoubleType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ROLES = frozenset("button link textbox checkbox radio searchbox combobox".split())
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)|(?:width|height)\s*:\s*0(?:px)?\s*(?:;|$))", re.I)
@@ -223,20 +228,34 @@ def page_observations(pages: DataFrame, key: str = "page_id", url: str = "url")
 
 
 def line_regions(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Non-blank lines of plain texts as regions, in the declared layout; all native."""
+    """Non-blank lines of plain texts as regions, in the declared layout."""
     lines = texts.select(F.col(key).cast("string").alias("observation_id"), F.posexplode(F.split(F.col(text), "\n")).alias("region_index", "raw"))
-    shown = lines.select("observation_id", "region_index", collapse(F.col("raw")).alias("text")).where("text <> ''")
+    shown = lines.where(F.col("raw").rlike(f"[^{SPACE}]")).select("observation_id", "region_index", collapse(F.col("raw")).alias("text"))
     box = f"named_struct('x', 0D, 'y', {LINE}D * region_index, 'width', {ADVANCE}D * length(text), 'height', {HEIGHT}D)"
     return shown.select("observation_id", "region_index", F.lit(None).cast("string").alias("element_id"), "text", F.expr(box).alias("bbox"), words_with_geometry().alias("words"), F.lit(True).alias("visible"), F.expr(f"region_index * {LINE} < {PAGE_HEIGHT}").alias("in_viewport"))
 
 
+@F.arrow_udf(_WORDS)
+def _placed_words(texts: pa.Array, lines: pa.Array) -> pa.Array:
+    """Words of collapsed texts with offsets and boxes, by whole columns."""
+    lists = pc.split_pattern(texts, " ")
+    words = lists.flatten()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    reach = np.cumsum(lengths + 1) - (lengths + 1)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    start = (reach - reach[offsets[owner]]).astype(np.int32) if len(words) else np.zeros(0, np.int32)
+    top = lines.to_numpy(zero_copy_only=False)[owner].astype(np.float64) * LINE
+    box = pa.StructArray.from_arrays([pa.array(start * float(ADVANCE)), pa.array(top), pa.array(lengths * float(ADVANCE)), pa.array(np.full(len(words), float(HEIGHT)))], ["x", "y", "width", "height"])
+    end = (start + lengths).astype(np.int32)
+    word = pa.StructArray.from_arrays([words, box, pa.nulls(len(words), pa.float64()), pa.array(start), pa.array(end)], ["text", "bbox", "confidence", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(offsets), word)
+
+
 def words_with_geometry() -> Column:
     """The words of ``text`` (already collapsed) with offsets and boxes of the declared layout at ``region_index``."""
-    box = f"named_struct('x', {ADVANCE}D * a.p, 'y', {LINE}D * region_index, 'width', {ADVANCE}D * length(w), 'height', {HEIGHT}D)"
-    word = f"named_struct('text', w, 'bbox', {box}, 'confidence', cast(null as double), 'start', a.p, 'end', a.p + length(w))"
-    from veilwright.schemas import WORD
-
-    return F.expr(f"aggregate(split(text, ' '), named_struct('p', 0, 'o', cast(array() as array<{WORD}>)), (a, w) -> named_struct('p', a.p + length(w) + 1, 'o', concat(a.o, array({word}))), a -> a.o)")
+    return _placed_words("text", "region_index")
 
 
 # ------------------------------------------------------------------- the same rules over columns
