@@ -247,7 +247,8 @@ def needs_redaction(e: dict, matched: bool) -> bool:
 
 
 def redact_page(regions: list[dict], entities: list[dict], config: EngineConfig = DEFAULT) -> dict:
-    """The regions of one observation with entities replaced, and the account of it."""
+    """The regions of one observation with entities replaced, and the account of it; without regions nothing is asked for."""
+    entities = entities if regions else []
     shown, redactions = [], []
     failed: set[int] = set()
     direct: set[int] = set()
@@ -315,7 +316,7 @@ def redact_observations(observations: DataFrame, regions: DataFrame, fused: Data
 
     def run(batches):
         for batch in batches:
-            out = [redact_page(r or [], e or [] if r else [], config) for r, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            out = [redact_page(r or [], e or [], config) for r, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([x[f.name] for x in out], to_arrow_type(f.dataType)) for f in kind.fields[1:]], kind.names)
 
     return rows.mapInArrow(run, kind)

@@ -1,27 +1,34 @@
 """Written intermediate tables: a cut lineage that survives lost executors.
 
-They live below ``spark.checkpoint.dir``, a folder every executor and the driver can reach.
-Nothing here uses machine-local folders on a cluster.
+They live below ``spark.checkpoint.dir``, a folder every executor and the driver can reach, and
+go when the driver's process ends.  Nothing here uses machine-local folders on a cluster.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 from veilwright.session import importable
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="veilwright-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="veilwright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
@@ -32,6 +39,7 @@ class Tables:
         self.spark = importable(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(self._end)
 
     def write(self, df: DataFrame) -> DataFrame:
         """Run ``df``, write it and return the DataFrame that reads it."""
@@ -44,6 +52,12 @@ class Tables:
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(table._veilwright_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._veilwright_path)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self._delete(self.root)

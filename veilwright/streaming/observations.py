@@ -43,7 +43,7 @@ def handle_observations(pages: DataFrame, handle: Callable[[DataFrame, int], Non
 def stream_last(rows: DataFrame, key: str, ident: str, time: str, n: int = 5) -> DataFrame:
     """A stream of (key, ident, time) kept as the ``n`` latest per key after each micro-batch; state holds ``n`` rows a key."""
     importable(rows.sparkSession)
-    plain = rows.select(F.col(key).cast("string").alias("key"), F.col(ident).cast("long").alias("ident"), F.unix_micros(F.col(time)).alias("at"))
+    plain = rows.select(F.col(key).cast("string").alias("key"), F.col(ident).cast("long").alias("ident"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
 
     def update(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get)) if state.exists else []
