@@ -18,8 +18,9 @@ def test_hits_stream_like_in_batch(spark, tmp_path):
 
 
 def test_last_rows_per_key(spark, tmp_path):
-    schema = spark.read.parquet(EVENTS).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{EVENTS}")
+    rows = spark.read.parquet(EVENTS)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     q = S.stream_last(stream, "user_id", "event_id", "ts").writeStream.format("memory").queryName("last").outputMode("update").start()
     q.processAllAvailable()
     q.stop()
