@@ -11,8 +11,8 @@ value) are counted with map-side partial sums; almost all hold one fingerprint a
 bucket of two yields its pair from the counts alone.  A bucket within ``BUCKET`` is linked by a
 spanning forest (at most its size minus one links, never all pairs).  A larger bucket is cut by
 the same family over the bits that are still free, which again loses no pair; as the free bits
-shrink by half each time, a bucket of b free bits has at most 2^b fingerprints and the cutting
-ends.  Components are found with distributed star rounds.
+shrink by half each time and a bucket of b free bits has at most 2^b fingerprints, the cutting
+ends with at most 2^``FREE`` of them.  Components are found with distributed star rounds.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ WORDS = 4
 SEED = 42
 RADIUS = 4
 BUCKET = 512
+FREE = 9
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -79,7 +80,7 @@ def _signed(x: int) -> int:
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect exactly what the pairs within ``radius`` connect: a breadth-first forest."""
+    """Links (positions) that connect exactly what the pairs within ``radius`` connect: a breadth-first forest."""
     free = np.ones(len(fps), bool)
     links = []
     for root in range(len(fps)):
@@ -92,17 +93,22 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
             rest = np.flatnonzero(free)
             near = rest[np.bitwise_count((fps[rest] ^ fps[at]).view(np.uint64)) <= radius]
             free[near] = False
-            links += [(int(fps[at]), int(fps[k])) for k in near]
+            links += [(at, k) for k in near.tolist()]
             queue += near.tolist()
     return links
 
 
 def _link_buckets(radius: int):
     def linked(batches):
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         key = None
+
+        def forest() -> list[tuple[int, int]]:
+            fps, nodes = (np.concatenate(x) for x in zip(*held))
+            return [(int(nodes[x]), int(nodes[y])) for x, y in _forest(fps, radius)]
+
         for batch in batches:
-            mask, value, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            mask, value, fp, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             if not len(fp):
                 continue
             cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
@@ -110,44 +116,47 @@ def _link_buckets(radius: int):
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
                 now = (int(mask[a]), int(value[a]))
                 if now != key and held:
-                    links += _forest(np.concatenate(held), radius)
+                    links += forest()
                     held = []
                 key = now
-                held.append(fp[a:b])
+                held.append((fp[a:b], node[a:b]))
             yield _links(links)
         if held:
-            yield _links(_forest(np.concatenate(held), radius))
+            yield _links(forest())
 
     return linked
 
 
 def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
 def near_links(nodes: DataFrame, tables: Tables, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``nodes.fp`` whose closure is that of all pairs within ``radius``."""
+    """Links (u, v) between ``nodes.node`` whose closure is that of all pairs of ``nodes.fp`` (distinct) within ``radius``."""
     masks = [_signed(m) for m in covering_masks(radius)]
     family = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-    rows = nodes.select("fp", family.alias("mask"))
+    rows = nodes.select("fp", "node", family.alias("mask"))
     links, level = [], 0
     while True:
         level += 1
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        counted = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+        counted = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.min("node").alias("u"), F.max("node").alias("v"))
         shared = tables.write(counted.where("n > 1"))
-        links.append(shared.where(f"n = 2 and bit_count(a ^ b) <= {radius}").select("a", "b"))
-        sizes = shared.agg(F.count(F.when((F.col("n") > 2) & (F.col("n") <= bucket), 1)), F.count(F.when(F.col("n") > bucket, 1))).first()
+        links.append(shared.where(f"n = 2 and bit_count(a ^ b) <= {radius}").select("u", "v"))
+        # with few bits left free a bucket has at most 2 ** FREE fingerprints, however they are spread
+        large_sql = f"(n > {bucket} and bit_count(~mask) > {FREE})"
+        sizes = shared.agg(F.count(F.when(F.expr(f"n > 2 and not {large_sql}"), 1)), F.count(F.when(F.expr(large_sql), 1))).first()
         if sizes[0]:
-            keys = small_side(shared.where(f"n > 2 and n <= {bucket}").select("mask", "value"), sizes[0])
-            members = rows.join(keys, ["mask", "value"]).select("mask", "value", "fp")
+            keys = small_side(shared.where(f"n > 2 and not {large_sql}").select("mask", "value"), sizes[0])
+            members = rows.join(keys, ["mask", "value"]).select("mask", "value", "fp", "node")
             dealt = members.repartition("mask", "value").sortWithinPartitions("mask", "value")
-            links.append(tables.write(dealt.mapInArrow(_link_buckets(radius), "a long, b long").distinct()))
+            links.append(tables.write(dealt.mapInArrow(_link_buckets(radius), "u long, v long").distinct()))
         if not sizes[1]:
             break
-        keys = small_side(shared.where(f"n > {bucket}").select("mask", "value"), sizes[1])
-        large = rows.join(keys, ["mask", "value"]).select("fp", F.col("mask").alias("outer_mask"))
-        rows = tables.write(large.select("fp", F.col("outer_mask").bitwiseOR(family_column(masks, level)).alias("mask")).distinct())
+        keys = small_side(shared.where(large_sql).select("mask", "value"), sizes[1])
+        large = rows.join(keys, ["mask", "value"]).select("fp", "node", F.col("mask").alias("outer_mask"))
+        cut = large.select("fp", "node", "outer_mask", family_column(masks, level).alias("inner_mask"))
+        rows = tables.write(cut.select("fp", "node", F.col("outer_mask").bitwiseOR(F.col("inner_mask")).alias("mask")).distinct())
     out = links[0]
     for part in links[1:]:
         out = out.union(part)
@@ -172,10 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = tables.write(hashed.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
     links = tables.write(near_links(nodes, tables, radius, bucket))
     count = links.count()
-    side = nodes.select(F.col("fp").alias("a"), F.col("node").alias("u"))
-    ends = links.join(side.hint("merge"), "a").join(side.select(F.col("a").alias("b"), F.col("u").alias("v")).hint("merge"), "b")
-    classes = connected_components(ends.select("u", "v"), tables)
-    labels = nodes.join(small_side(classes, count, 16), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    classes = connected_components(links, tables)
+    labels = nodes.join(small_side(classes, 2 * count), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     joined = hashed.join(labels.hint("merge"), "fp", "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
