@@ -50,7 +50,7 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """All revisits of ``records`` with the response each stands for.
 
     ``records``: record_id, url, ts (orderable), kind ('response' or 'revisit'), etag,
-    last_modified, headers (map of lower-case names); other columns are ignored.  Rows: record_id,
+    last_modified, headers (map of lower-case names); other columns and kinds are ignored.  Rows: record_id,
     canonical, status, response_id, headers.  Status is ``resolved``; ``no_response`` (no earlier
     response; also for a null URL or time); or ``validator_mismatch`` (a validator both carry
     differs), for which response_id stays null and headers are the revisit's own.  Of responses
@@ -59,7 +59,7 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """
     if not _integral(records):
         raise TypeError("ts must be an integral number (seconds or microseconds), so that 'earlier' is exact")
-    r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "ts", (F.col("kind") == "response").alias("full"), "etag", "last_modified", "headers").where("full is not null")
+    r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "ts", (F.col("kind") == "response").alias("full"), "etag", "last_modified", "headers", "kind").where("kind in ('response', 'revisit')").drop("kind")
     keyed = r.where("canonical is not null and ts is not null")
     response = F.struct("record_id", "etag", "last_modified", "headers")
     moments = keyed.groupBy("canonical", "ts").agg(F.max_by(F.when(F.col("full"), response), F.when(F.col("full"), F.col("record_id"))).alias("at"))
