@@ -1,61 +1,21 @@
-"""Shared helpers of the training-data operators: intermediate tables, sized joins, byte hashing.
-
-Intermediate results are written as Parquet below ``spark.checkpoint.dir`` (a folder every
-executor and the driver can reach), so a lost executor costs a re-read and never a recomputed
-chain.  Nothing here uses machine-local folders on a cluster.
-"""
+"""Shared helpers of the training-data operators: reading documents, sized joins, byte hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.session import importable
+from veilwright.stages import Tables
+
+__all__ = ["ALPHANUMERIC", "NOT_SPACE", "Tables", "Words", "documents", "id_and_text", "mix", "slices", "small_side"]
 
 #: A join side may be broadcast only while it has at most this many rows of at most this many bytes.
 BROADCAST_ROWS = 400_000
 BROADCAST_ROW_BYTES = 64
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="veilwright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-class Tables:
-    """Written intermediate tables of one operator call; ``drop`` frees those no longer needed."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = importable(spark)
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """Run ``df``, write it and return the DataFrame that reads it."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._veilwright_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(table._veilwright_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
