@@ -1,0 +1,329 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.docs import docs, empty
+from veilwright.llm import bpe, media, packing, pii, quality, secrets, toxicity, warc
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+# -- media ------------------------------------------------------------------------------------------
+
+
+def test_media_round_trip(spark):
+    d = docs(spark)
+    texts = [r.text for r in d.collect()]
+    got = media.text_media(d).collect()
+    assert len(got) == len(texts)
+    for t, r in zip(texts, got):
+        raw = (t or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        assert r.n_bytes == len(raw) and r.payload_bytes == len(payload) and r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
+        assert media.decode(r.media).tobytes() == payload
+    by_text = {}
+    for t, r in zip(texts, got):
+        assert by_text.setdefault(t or "", (r.feature, r.tile)) == (r.feature, r.tile)
+    assert media.text_media(empty(spark)).count() == 0
+
+
+def test_image_formats(spark):
+    rng = np.random.default_rng(0)
+    for shape in ((5, 7, 3), (1, 1, 3), (9, 64, 3)):
+        a = rng.integers(0, 256, shape).astype(np.uint8)
+        assert (media.decode(media.encode_bmp(a)) == a).all() and (media.decode(media.encode_ppm(a)) == a).all()
+        assert (media.decode(media.encode_ppm(a[:, :, 0])) == a[:, :, 0]).all()
+    assert media.decode(b"P2\n# note\n2 1\n10\n0 5").tolist() == [[0, 128]]
+    assert media.decode(b"P1 2 2 0 1\n10").tolist() == [[255, 0], [0, 255]]
+    assert media.decode(b"P4 3 1\n\xa0").tolist() == [[0, 255, 0]]
+    files = [("a", media.encode_bmp(a)), ("b", b"no image"), ("c", None), ("d", b"P6 9 9 255\nxx"), ("e", b"P5 2 2 9999\nxxxxxxxx")]
+    got = {r.id: r for r in media.image_tiles(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert (got["a"].height, got["a"].width, got["a"].error) == (9, 64, None) and all(got[k].error for k in "bcde")
+
+
+def test_area_resize_is_the_mean_over_the_area():
+    a = np.random.default_rng(3).random((12, 10))
+    up = a.repeat(5, 0).repeat(7, 1)  # 60 x 70 is a multiple of every target size below
+    for h, w in ((3, 5), (4, 7), (5, 2), (12, 10)):
+        assert np.allclose(media.area_resize(a, h, w), up.reshape(h, 60 // h, w, 70 // w).mean((1, 3)))
+
+
+# -- personal data ------------------------------------------------------------------------------------
+
+
+def slow_base(t):
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(re.sub("[^0-9]", "", s)) <= 19 and pii.luhn(re.sub("[^0-9]", "", s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+    ]
+    return [(k, *m.span()) for k, p, ok in kinds for m in re.finditer(p, t) if ok(m[0])]
+
+
+def test_base_spans_equal_plain_searches():
+    rnd = random.Random(4)
+    for _ in range(20000):
+        t = "".join(rnd.choice("a._@@..-11234 +()5é\n") for _ in range(rnd.randint(0, 40)))
+        assert pii.base_spans(t) == slow_base(t)
+    for t in ("1" * 200_000, "a" * 200_000 + "@", "1 " * 100_000, "A1" * 100_000, "+1" * 100_000, "1." * 100_000):
+        pii.spans(t)
+
+
+def test_personal_data_rows(spark):
+    d = docs(spark)
+    got = pii.find_personal_data(d).collect()
+    for t, r in zip([x.text or "" for x in d.collect()], got):
+        base = slow_base(t)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in base) for k in pii.BASE]
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
+    assert "iban:" in got[13].spans and pii.mod97("DE89 3704 0044 0532 0130 00") and not pii.mod97("DE88 3704 0044 0532 0130 00")
+    assert pii.score("card 4111111111111111", "card", 5, 21) > pii.score("test 4111111111111111", "card", 5, 21)
+    assert pii.find_personal_data(empty(spark)).count() == 0
+
+
+# -- tokens --------------------------------------------------------------------------------------------
+
+
+def library_ids(text):
+    return bpe.coder(PATH).tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_words_and_ids_equal_the_library():
+    c, rnd = bpe.coder(PATH), random.Random(5)
+    for _ in range(4000):
+        t = "".join(rnd.choice("ab'sreZé  \n\t  \u0085ñ12½²!#$_😀日本ßЖ́​　\x1c") for _ in range(rnd.randint(0, 25)))
+        t += "<|endoftext|> x" if rnd.random() < 0.1 else ""
+        words = c.words(t)
+        assert "".join(words) == t and [i for x in c.encode_words(words) for i in x] == library_ids(t) == c.ids(t)
+
+
+@pytest.mark.parametrize("table_bytes", [bpe.TABLE_BYTES, 0])
+def test_round_trip(spark, table_bytes):
+    d = docs(spark)
+    got = sorted((tuple(r) for r in bpe.round_trip(d, PATH, table_bytes=table_bytes).collect()), key=repr)
+    wanted = []
+    for r in d.collect():
+        ids = library_ids(r.text)
+        back = bpe.coder(PATH).tokenizer.decode(ids, skip_special_tokens=False)
+        wanted.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert got == sorted(wanted, key=repr)
+    assert bpe.round_trip(empty(spark), PATH, table_bytes=table_bytes).count() == 0
+
+
+def test_decode(spark):
+    rows = spark.createDataFrame([(1, library_ids("naïve 😀")), (2, []), (3, None), (4, [10**6])], "doc_id long, ids array<long>")
+    assert {r.doc_id: r.text for r in bpe.decode(rows, PATH).collect()} == {1: "naïve 😀", 2: "", 3: None, 4: ""}
+
+
+@pytest.mark.parametrize("shard", [packing.SHARD, 3])
+def test_packing(spark, shard):
+    d = docs(spark, extra=[(500 + k, "alpha beta gamma " * (40 * k), None, None, None, None, None, None, None, None, None) for k in range(12)]).where("doc_id is not null").dropDuplicates(["doc_id"])
+    ids = {r.doc_id: np.array([*library_ids(r.text), 0], "<u4") for r in d.collect()}
+    got = packing.pack(d, PATH, shard=shard).toPandas()
+    for i, x in got.sort_values("start").groupby("doc_id"):
+        assert (x.start.to_numpy() == np.concatenate([[0], x.length.cumsum().to_numpy()[:-1]])).all() and x.length.sum() == len(ids[i]) == x.doc_tokens.iloc[0]
+        assert all(zlib.crc32(ids[i][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in x.itertuples())
+    assert set(got.doc_id) == set(ids)
+    sequences = got.sort_values("offset").groupby("sequence_id")
+    assert all((x.offset.to_numpy() == np.concatenate([[0], x.length.cumsum().to_numpy()[:-1]])).all() for _, x in sequences)
+    lengths = sequences.length.sum()
+    assert lengths.max() <= 1024 and (lengths < 1024).sum() <= -(-d.count() // shard)
+    assert packing.pack(empty(spark), PATH).count() == 0
+
+
+def test_packing_takes_nulls_repeats_and_null_ids(spark):
+    d = docs(spark)
+    total = sum(len(library_ids(r.text)) + 1 for r in d.collect())
+    assert packing.pack(d, PATH).agg(F.sum("length")).first()[0] == total
+
+
+def test_neighbours_share_rare_terms():
+    rng = np.random.default_rng(0)
+    tails = [rng.integers(1000, 2000, 300).astype(np.uint32) for _ in range(8)]
+    tails[5] = np.concatenate([tails[2][:200], tails[5][:50]])
+    idf = np.full(50_257, 5.0, np.float32)
+    s = packing.Shard(tails, idf, 300)
+    scores = s.neighbours(2)
+    scores[2] = 0
+    assert scores.argmax() == 5
+
+
+# -- secrets --------------------------------------------------------------------------------------------
+
+
+def test_forest_on_held_out_findings(spark):
+    f = secrets.labelled_findings(spark).withColumn("fold", F.expr("pmod(xxhash64(value), 4)"))
+    forest = secrets.train_forest(f.where("fold > 0"))
+    scored = secrets.with_features(f.where("fold = 0")).withColumn("c", F.struct(*secrets.FEATURES)).select("label", F.expr(forest).alias("score"))
+    right = scored.where(f"(score > {secrets.THRESHOLD}) = (label = 1)").count()
+    assert right / scored.count() > 0.97
+
+
+def test_scan_and_redaction(spark):
+    d = docs(spark)
+    found = secrets.scan_secrets(d, path_col="source").collect()
+    texts = {r.doc_id: r.text for r in d.collect()}
+    for r in found:
+        value = texts[r.doc_id][r.start : r.end]
+        assert re.fullmatch(secrets.CANDIDATE, value) and r.value_sha256 == hashlib.sha256(value.encode()).hexdigest()
+    assert [(r.doc_id, r.is_secret) for r in found if r.doc_id == 12] == [(12, True), (12, False)]
+    back = secrets.redact_secrets(d, path_col="source", length_col="n_chars")
+    assert back.columns == d.columns and back.schema == d.schema
+    for before, after in zip(d.collect(), back.collect()):
+        wanted = before.text
+        for r in sorted((r for r in found if r.doc_id == before.doc_id and r.is_secret), key=lambda r: -r.start):
+            wanted = wanted[: r.start] + secrets.PLACEHOLDER + wanted[r.end :]
+        assert after.text == wanted and after.n_chars == (before.n_chars if wanted == before.text else len(wanted))
+    assert secrets.scan_secrets(empty(spark)).count() == 0 and secrets.redact_secrets(empty(spark)).count() == 0
+    plan = back._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# -- toxicity and quality -----------------------------------------------------------------------------------
+
+
+def labelled(spark, n=900):
+    rnd = random.Random(6)
+    plain = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    rows, labels = [], []
+    for k in range(n):
+        words = [rnd.choice(plain) for _ in range(rnd.randint(5, 60))]
+        toxic = k % 8 == 0
+        if toxic:
+            words.insert(rnd.randrange(len(words)), rnd.choice(["vileword", "nastything", "grossish" + rnd.choice("abc")]))
+        rows.append((k, " ".join(words)))
+        if k % 2 == 0:
+            labels.append((k, 1, int(toxic)))
+    labels += [(None, 1, 1), (3, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    d, labels = labelled(spark)
+    got = toxicity.toxicity(d, labels).collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got) and len(held) > 200
+    assert sum(r.predicted == (r.doc_id % 8 == 0) for r in held) / len(held) > 0.97
+    left = toxicity.without_toxic(d, labels)
+    assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in got if not r.predicted}
+
+
+def test_toxicity_of_awkward_rows(spark):
+    _, labels = labelled(spark)
+    d = docs(spark)
+    got = toxicity.toxicity(d, labels.where("toxic = 1")).collect()
+    assert len(got) == d.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    assert toxicity.toxicity(empty(spark), labels).count() == 0
+    assert toxicity.without_toxic(d, labels.where("toxic = 7")).count() == d.count()
+
+
+def test_model_separates_despite_positives_among_the_unlabelled():
+    rng = np.random.default_rng(0)
+
+    def doc(toxic):
+        return np.unique(np.append(rng.integers(100, 400, 20), rng.integers(0, 3) if toxic else 500))
+
+    model = toxicity.fit([doc(True) for _ in range(200)], [doc(k % 10 == 0) for k in range(1000)], 0.1)
+    assert model.weights[:3].min() > 2 and model.bias < -1 and np.abs(model.weights[100:400]).max() < 1
+
+
+def test_importance_resampling(spark):
+    rnd = random.Random(8)
+    good = [(k, " ".join(rnd.choice(["calm", "clear", "prose", "words", "flow"]) for _ in range(30))) for k in range(150)]
+    bad = [(1000 + k, " ".join(rnd.choice(["calm", "zzz%%", "###", "&&&", "$$$"]) for _ in range(30))) for k in range(150)]
+    d = spark.createDataFrame(good + bad, "doc_id long, text string")
+    target = spark.createDataFrame([(k,) for k in range(0, 150, 3)], "doc_id long")
+    got = quality.resample(d, target, k=150).collect()
+    assert sum(r.selected for r in got) == 150 and sum(r.selected and r.doc_id < 1000 for r in got) >= 149
+    best = sorted(got, key=lambda r: -r.gumbel_key)[:150]
+    assert {r.doc_id for r in best} == {r.doc_id for r in got if r.selected}
+    texts = {r.doc_id: r.text for r in d.collect()}
+    counts = np.zeros((2, quality.BUCKETS))
+    for i, t in texts.items():
+        _, b = quality.ngrams([t])
+        np.add.at(counts[0], b, 1)
+        if i < 150 and i % 3 == 0:
+            np.add.at(counts[1], b, 1)
+    share = (counts + 1) / (counts.sum(1, keepdims=True) + quality.BUCKETS)
+    ratio = np.log(share[1] / share[0])
+    assert all(abs(r.log_weight - ratio[quality.ngrams([texts[r.doc_id]])[1]].sum()) < 1e-6 and r.n_grams == 59 for r in got)
+
+
+def test_resampling_of_awkward_rows(spark):
+    d = docs(spark)
+    target = spark.createDataFrame([(0,), (0,), (None,), (77,)], "doc_id long")
+    for k in (0, 1, 5, 99):
+        got = quality.resample(d, target, k=k).collect()
+        assert len(got) == d.count() and (sum(r.selected for r in got) >= min(k, len(got)) or k == 0)
+    assert quality.resample(empty(spark), target, share=0.5).count() == 0
+
+
+def test_kth_largest(spark):
+    rnd = random.Random(1)
+    values = [rnd.getrandbits(63) * rnd.choice([1, -1]) for _ in range(300)] + [7] * 20 + [-(1 << 63), (1 << 63) - 1]
+    d = spark.createDataFrame([(v,) for v in values], "x long").cache()
+    ordered = sorted(values, reverse=True)
+    for k in (1, 2, 150, 160, len(values)):
+        edge, left = quality.kth_largest(d, "x", k)
+        assert edge == ordered[k - 1] and left == k - sum(v > edge for v in values)
+
+
+# -- archives ----------------------------------------------------------------------------------------------------
+
+RECORDS = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, body string"
+
+
+def slow_resolve(rows, canonical):
+    out = []
+    for r in rows:
+        if r[3] != "revisit":
+            continue
+        earlier = [x for x in rows if x[3] == "response" and r[1] is not None and r[2] is not None and x[1] is not None and x[2] is not None and canonical[x[1]] == canonical[r[1]] and x[2] < r[2]]
+        best = max(earlier, key=lambda x: (x[2], x[0]), default=None)
+        differs = best is not None and any(r[c] is not None and best[c] is not None and r[c] != best[c] for c in (4, 5))
+        status = "no_response" if best is None else "validator_mismatch" if differs else "resolved"
+        headers = r[6]
+        if status == "resolved":
+            allowed = {k: v for k, v in (r[6] or {}).items() if k.lower() in warc.UPDATABLE}
+            headers = allowed if best[6] is None else best[6] if r[6] is None else {k: v for k, v in best[6].items() if k not in allowed} | allowed
+        out.append((r[0], status, best[0] if status == "resolved" else None, sorted((headers or {}).items())))
+    return sorted(out, key=repr)
+
+
+def test_revisits_equal_brute_force(spark):
+    rnd = random.Random(7)
+    urls = ["http://A.com:80/x/?b=2&a=1&utm_source=q#f", "http://a.com/x?a=1&b=2", "https://a.com/x", "http://u:p@a.com/x?a=1&b=2", None]
+    rows = []
+    for k in range(400):
+        url = urls[0] if k % 3 == 0 else rnd.choice(urls)  # one address holds a third of the records
+        headers = rnd.choice([None, {"date": str(k), "content-length": "0"}, {"x": "1", "etag": "e", "expires": str(k)}])
+        rows.append((k, url, rnd.choice([None, *range(60)]), rnd.choice(["response", "revisit", None, "request"]), rnd.choice([None, "a", "b"]), rnd.choice([None, None, "m"]), headers, "b"))
+    d = spark.createDataFrame(rows, RECORDS)
+    seen = spark.createDataFrame([(u,) for u in urls[:-1]], "url string").select("url", warc.canonical_url(F.col("url")).alias("c"))
+    canonical = {r.url: r.c for r in seen.collect()}
+    assert len(set(canonical.values())) == 2
+    for slices in (128, 4):
+        got = warc.resolve_revisits(d, slices)
+        assert sorted(((r.record_id, r.status, r.response_id, sorted((r.headers or {}).items())) for r in got.collect()), key=repr) == slow_resolve(rows, canonical)
+    assert warc.resolve_revisits(d.limit(0)).count() == 0
+
+
+def test_reading_archives():
+    import gzip
+
+    def record(kind, body):
+        return b"WARC/1.1\r\nWARC-Type: " + kind + b"\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+    data = record(b"response", b"hello\r\n\r\nx") + record(b"revisit", b"")
+    for raw in (data, gzip.compress(data), data + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort"):
+        assert [(h["warc-type"], b) for h, b in warc.read_records(raw)] == [("response", b"hello\r\n\r\nx"), ("revisit", b"")]
+    assert list(warc.read_records(b"")) == []
