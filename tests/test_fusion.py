@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from tests.fixtures import box, detection, observation
 from veilwright import schemas
 from veilwright.operators import context, fusion, gate, redact_image
@@ -173,7 +171,7 @@ def test_masks(spark):
     assert none == [] and not result.success
 
 
-GATE = "observation_id string, url string, goal string, available_actions array<string>, canvas struct<width:int,height:int>, sanitized_text string, n_regions int, n_fused int, text_complete boolean, n_unredacted int, success boolean, data_url string, has_canvas boolean, visual_complete boolean, n_unmasked int"
+GATE = gate.ROWS
 GOOD = {"observation_id": "o", "url": "https://a.com/x?y", "goal": "g", "available_actions": None, "canvas": (10, 10), "sanitized_text": "t", "n_regions": 1, "n_fused": 1, "text_complete": True, "n_unredacted": 0, "success": True, "data_url": "data:image/png;base64,A", "has_canvas": False, "visual_complete": True, "n_unmasked": 0}
 
 
@@ -206,9 +204,14 @@ def test_gate(spark, change, reasons):
         assert v.outbound.page.url == "https://a.com/x" and len(v.outbound.available_actions) == 6
 
 
+def test_shut_gate(spark):
+    v = gate.shut(spark.createDataFrame([("a",), (None,)], "observation_id string"))
+    assert v.schema.names == gate.gate(spark.createDataFrame([], GATE)).schema.names
+    assert all(not r.allowed and r.reasons == ["PRIVACY_GATE_UNAVAILABLE"] and r.outbound is None and not any(r.checks) for r in v.collect())
+
+
 def test_forbidden_keys(spark):
     kind = spark.createDataFrame([], "a struct<x:array<struct<Password:string>>>, m map<string,struct<trace:int>>, passwords string").schema
     assert gate.forbidden_fields(kind) == ["Password", "trace"]
     d = spark.createDataFrame([('{"a":[{"APIKEY":1}]}',), ('{"a":"password"}',), ("broken",), (None,)], "j string")
     assert [r[0] for r in d.select(gate.json_holds_forbidden_key("j")).collect()] == [True, False, True, True]
-    assert F.lit(1) is not None

@@ -14,6 +14,10 @@ from veilwright.functions.text import trim
 from veilwright.functions.url import sanitize_url
 
 CHECKS = ("sanitized_dom_present", "sanitized_screenshot_present", "text_redaction_complete", "visual_redaction_complete", "outbound_schema_valid")
+ROWS = (
+    "observation_id string, url string, goal string, available_actions array<string>, canvas struct<width:int,height:int>, sanitized_text string, n_regions int, n_fused int, "
+    "text_complete boolean, n_unredacted int, success boolean, data_url string, has_canvas boolean, visual_complete boolean, n_unmasked int"
+)
 _FORBIDDEN = frozenset(k.lower() for k in FORBIDDEN_KEYS)
 
 
@@ -104,6 +108,13 @@ def gate(rows: DataFrame) -> DataFrame:
     )
 
 
+def shut(observations: DataFrame, reason: str = "PRIVACY_GATE_UNAVAILABLE") -> DataFrame:
+    """Verdicts that block every observation, for callers that cannot run the gate (or saw it fail: INTERNAL_VALIDATION_ERROR)."""
+    kind = gate(observations.sparkSession.createDataFrame([], ROWS)).schema
+    values = {"allowed": F.lit(False), "checks": F.struct(*[F.lit(False).alias(k) for k in CHECKS]), "reasons": F.array(F.lit(reason))}
+    return observations.select("observation_id", *[values[f.name].alias(f.name) if f.name in values else F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[1:]])
+
+
 def outbound_json(verdicts: DataFrame) -> DataFrame:
     """observation_id and the JSON of what may leave; blocked observations give no row."""
     return verdicts.where("allowed").select("observation_id", F.to_json("outbound").alias("json"))

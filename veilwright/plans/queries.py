@@ -525,6 +525,25 @@ def last_observations(spark, sf_dir):
     return last_per_key(table(spark, sf_dir, "events"), "user_id", F.col("ts").desc(), F.col("event_id").desc(), n=5).select("user_id", "event_id", "ts")
 
 
+@query("""WITH e AS (SELECT *, event_id % 3 = 0 AS seen FROM events), r AS (SELECT user_id, ts, max(event_id) AS event_id FROM e WHERE seen GROUP BY user_id, ts)
+SELECT l.event_id, l.user_id, r.event_id AS latest FROM e l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts WHERE NOT l.seen""")
+def latest_pairs(spark, sf_dir):
+    """Each event with the last event of its user whose id is divisible by three, as pages meet their latest screen."""
+    from veilwright.streaming.observations import pair_with_latest
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    seen = F.col("event_id") % 3 == 0
+    return pair_with_latest(e.where(~seen), e.where(seen), "user_id", "ts", "event_id").select("event_id", "user_id", "latest")
+
+
+@query(f"""WITH {cte("boxes")} SELECT k, NOT (k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0) AS rendered, y + h - 300 > 0 AND y - 300 < 250 AND x + w - 100 > 0 AND x - 100 < 400 AS in_viewport FROM boxes""")
+def visibility(spark, sf_dir):
+    b = derived(spark, sf_dir, "boxes")
+    drawn = pages.rendered(F.when(F.col("k") % 7 == 0, "none").otherwise("block"), F.when(F.col("k") % 11 == 0, "hidden"), F.when(F.col("k") % 13 == 0, "0.0").otherwise("0.5"), F.col("w"), F.col("h"))
+    view = F.expr("named_struct('width', 400D, 'height', 250D)")
+    return b.select("k", drawn.alias("rendered"), pages.in_viewport(geometry.box(F.col("x") - 100, F.col("y") - 300, F.col("w"), F.col("h")), view).alias("in_viewport"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def event_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))

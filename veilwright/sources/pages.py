@@ -263,7 +263,7 @@ def words_with_geometry() -> Column:
 
 def rendered(display: Column, visibility: Column, opacity: Column, width: Column, height: Column) -> Column:
     """Whether an element is drawn; opacity as CSS text or number, null counts as drawn."""
-    see_through = F.coalesce(F.try_to_number(opacity.cast("string"), F.lit("9D99")).cast("double"), F.lit(1.0)) == 0
+    see_through = F.coalesce(opacity.cast("string").try_cast("double"), F.lit(1.0)) == 0
     return F.coalesce((F.coalesce(display, F.lit("")) != "none") & (F.coalesce(visibility, F.lit("")) != "hidden") & ~see_through & (width > 0) & (height > 0), F.lit(False))
 
 

@@ -24,6 +24,14 @@ def last_per_key(rows: DataFrame, key: str, *order: Column, n: int = 5) -> DataF
     return rows.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
 
 
+def pair_with_latest(left: DataFrame, right: DataFrame, key: str, time: str, payload: str) -> DataFrame:
+    """``left`` with ``latest``: the ``payload`` of the last ``right`` row of its key at or before its time (an as-of join)."""
+    kind = right.schema[payload].dataType
+    both = left.withColumns({"__side": F.lit(1), "__payload": F.lit(None).cast(kind)}).unionByName(right.select(key, time, F.lit(0).alias("__side"), F.col(payload).alias("__payload")), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(time, "__side", F.col("__payload").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("latest", F.last("__payload", ignorenulls=True).over(w)).where("__side = 1").drop("__side", "__payload")
+
+
 def stream_hits(regions: DataFrame, strict: bool = False) -> DataFrame:
     """A stream of text hits from a stream of regions; stateless."""
     hits = regions.select("observation_id", "region_index", F.posexplode(F.expr(text.detect_sql("text", strict))).alias("k", "d"))
