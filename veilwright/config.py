@@ -37,6 +37,9 @@ COMPACT_TYPES = ("CARD", "ZIP_CODE", "TAX_ID", "BANK_ACCOUNT", "ROUTING_NUMBER")
 THRESHOLDS = {"GIVEN_NAME": 0.55, "SURNAME": 0.55, "NAME": 0.55, "BUILDING_NUMBER": 0.80, "STREET_NAME": 0.80, "SECONDARY_ADDRESS": 0.80, "CITY": 0.75, "STATE": 0.75, "ZIP_CODE": 0.80}
 DEFAULT_THRESHOLD = 0.80
 
+# Detection sources as they stand in records; the last one marks tagger output.
+SOURCES = ("DOM", "DOM_TEXT", "OCR", "RAMPART")
+
 # Reliability of sources.
 PRIORITY = {"DOM": 5, "DOM_TEXT": 4, "OCR": 3, "RAMPART_DOM": 2, "RAMPART_OCR": 1}
 
