@@ -25,7 +25,7 @@ PREFIXES = (4, 5, 6)
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 8_000
 FEATURES = 4_096
-STEPS = 300
+STEPS = 600
 #: How far below zero, as a share of the prior, the corrected risk may fall before a step is taken back.
 SLACK = 0.2
 #: A bucket becomes a feature if positives hold it this many times as often as unlabelled texts, by so many deviations.
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id
     return fit([b for b, y in zip(buckets, label) if y], [b for b, y in zip(buckets, label) if not y], prior)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, decay: float = 1e-4) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, decay: float = 3e-5) -> Model:
     """Full-batch Adam on the non-negative risk with logistic loss."""
     size = 1 << BITS
     prior = min(max(prior, 0.01), 0.5)
