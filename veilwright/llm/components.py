@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from veilwright.llm.common import Tables
 
-#: A hub has more than MANY edges and more than one in HUBS of all.
-MANY, HUBS = 256, 500
-
 
 def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: comparable ids); component is its smallest node.
@@ -20,37 +17,36 @@ def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
     """
     forward = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     current = tables.write(forward)
-    before, size = None, current.count()
+    before = None
     while True:
-        large = _star(current, size, larger=True)
-        small = tables.write(_star(large, size, larger=False))
-        tables.drop(current)
-        current = small
+        for larger in (True, False):
+            after = _star(current, tables, larger)
+            tables.drop(current)
+            current = after
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
-        before, size = state, state[0]
+        before = state
     roots = current.groupBy("v").count().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _star(edges: DataFrame, size: int, larger: bool) -> DataFrame:
+def _star(edges: DataFrame, tables: Tables, larger: bool) -> DataFrame:
     """Edges (u > v) after linking each node's larger (or smaller) neighbours to its smallest one.
 
-    A hub, a node with more than one in ``HUBS`` of all edges, does not get its edges dealt to
-    one task: as there are at most twice ``HUBS`` hubs, their rows are joined by broadcast.
+    The smallest neighbours are written first: then both sides of the join come straight from
+    their exchanges, and adaptive execution may split the edges of a hub over many tasks.
     """
     if larger:
         near = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
     else:
         near = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-    is_hub = F.col("n") > max(MANY, size // HUBS)
-    hubs = F.broadcast(least.where(is_hub).select("a", "m"))
-    rest = near.join(hubs.select("a"), "a", "left_anti")
-    joined = near.join(hubs, "a").select("a", "b", "m").union(rest.join(least.where(~is_hub).select("a", "m").hint("merge"), "a").select("a", "b", "m"))
+    least = tables.write(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+    joined = near.join(least.hint("merge"), "a")
     if larger:
         linked = joined.where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
     else:
         linked = joined.select(F.col("b").alias("u"), F.col("m").alias("v")).union(least.select(F.col("a").alias("u"), F.col("m").alias("v")))
-    return linked.where("u <> v").distinct()
+    out = tables.write(linked.where("u <> v").distinct())
+    tables.drop(least)
+    return out
