@@ -106,6 +106,15 @@ def test_words_and_ids_equal_the_library():
         assert "".join(words) == t and [i for x in c.encode_words(words) for i in x] == library_ids(t) == c.ids(t)
 
 
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "_hash", lambda word: 7)
+    c, words = bpe.coder(PATH), [" the", "the", " 😀", "x", "<|endoftext|>"]
+    ids = c.encode_words(words)
+    batch = bpe._pack(words, ids, c.pieces)
+    table = bpe.Lookup([[tuple(column[0].as_py() for column in batch.columns[1:])]], c.pieces)
+    assert table.find(words[::-1]) == [(",".join(map(str, i)), w.encode()) for w, i in zip(words, ids)][::-1]
+
+
 @pytest.mark.parametrize("table_bytes", [bpe.TABLE_BYTES, 0])
 def test_round_trip(spark, table_bytes):
     d = docs(spark)

@@ -18,17 +18,19 @@ import json
 import os
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterable
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.llm.common import Tables, id_and_text, slices
 
 TABLE_BYTES = 256 << 20
+PART_BYTES = 16 << 20
 CHUNK_WORDS = 1 << 15
 CACHE_WORDS = 200_000
 
@@ -70,7 +72,12 @@ class Coder:
             self.pieces[i] = token.encode()
         self._from_alphabet = alphabet
         self._fast = _pattern()
-        self._ranked = self._by_rank(spec["model"])
+        self._model = spec["model"]
+
+    @cached_property
+    def _ranked(self):
+        """Made on first use: only ``ids`` needs it."""
+        return self._by_rank(self.__dict__.pop("_model"))
 
     @staticmethod
     def _alphabet() -> dict[str, int]:
@@ -120,6 +127,13 @@ class Coder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file, without building the tokenizer."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+
+
 @lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
     return Coder(path)
@@ -131,7 +145,8 @@ def _hash(word: bytes) -> int:
 
 # --------------------------------------------------------------------------- the distinct-word table
 
-PACKED = "n long, hashes binary, word_lengths binary, words binary, id_lengths binary, ids binary"
+PACKED = "n long, hashes binary, word_lengths binary, words binary, decimal_lengths binary, decimals binary, same binary"
+_COLUMNS = tuple(x.split()[0] for x in PACKED.split(", "))
 
 
 def word_table(texts: DataFrame, path: str, tables: Tables) -> DataFrame:
@@ -150,50 +165,68 @@ def word_table(texts: DataFrame, path: str, tables: Tables) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK_WORDS):
                 words = batch.column(0).slice(k, CHUNK_WORDS).to_pylist()
-                yield _pack(words, coder(path).encode_words(words))
+                yield _pack(words, coder(path).encode_words(words), coder(path).pieces)
 
     distinct = texts.select("text").mapInArrow(split, "word string").distinct()
     return tables.write(distinct.mapInArrow(encode, PACKED))
 
 
-def _pack(words: list[str], ids: list[list[int]]) -> pa.RecordBatch:
+def _pack(words: list[str], ids: list[list[int]], pieces: list[bytes]) -> pa.RecordBatch:
+    """One chunk: each word's hash, bytes, ids in decimal, and whether its ids' pieces joined are the word again."""
     raw = [w.encode() for w in words]
+    decimals = [",".join(map(str, i)).encode() for i in ids]
     columns = [
-        np.array([_hash(w) for w in raw], np.uint64),
-        np.array([len(w) for w in raw], np.uint32),
+        np.array([_hash(w) for w in raw], np.uint64).tobytes(),
+        np.array([len(w) for w in raw], np.uint32).tobytes(),
         b"".join(raw),
-        np.array([len(i) for i in ids], np.uint32),
-        np.array([x for i in ids for x in i], np.uint32),
+        np.array([len(d) for d in decimals], np.uint32).tobytes(),
+        b"".join(decimals),
+        bytes(b"".join(map(pieces.__getitem__, i)) == w for i, w in zip(ids, raw)),
     ]
-    names = [x.split()[0] for x in PACKED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([len(words)], pa.int64())] + [pa.array([c if isinstance(c, bytes) else c.tobytes()], pa.binary()) for c in columns], names)
+    return pa.RecordBatch.from_arrays([pa.array([len(words)], pa.int64())] + [pa.array([c], pa.binary()) for c in columns], list(_COLUMNS))
 
 
 class Lookup:
-    """The packed table in memory: a word's ids, by hash and then by its bytes."""
-
-    def __init__(self, chunks: list[tuple[bytes, ...]]):
-        h, wl, w, il, i = zip(*chunks) if chunks else ((), (), (), (), ())
-        hashes = np.frombuffer(b"".join(h), np.uint64)
-        self.order = np.argsort(hashes, kind="stable").astype(np.uint32)
-        self.hashes = hashes[self.order]
-        self.word_ends = np.cumsum(np.frombuffer(b"".join(wl), np.uint32), dtype=np.int64)
-        self.id_ends = np.cumsum(np.frombuffer(b"".join(il), np.uint32), dtype=np.int64)
-        self.words = b"".join(w)
-        self.ids = np.frombuffer(b"".join(i), np.uint32)
-
-    def find(self, words: list[str]) -> list[list[int]]:
+    """The packed table in memory: a word's ids in decimal and decoded bytes, by hash and then by its bytes."""
+
+    def __init__(self, parts: Iterable[list[tuple[bytes, ...]]], pieces: list[bytes]):
+        columns = [bytearray() for _ in _COLUMNS[1:]]
+        for part in parts:  # a part is let go before the next is read
+            for chunk in part:
+                for column, piece in zip(columns, chunk):
+                    column += piece
+        h, wl, words, dl, decimals, same = columns
+        hashes = np.frombuffer(h, np.uint64)
+        order = np.argsort(hashes, kind="stable").astype(np.uint32)
+        self.hashes, self.pieces = hashes[order], pieces
+        # sums stay below TABLE_BYTES, so 32 bits hold them
+        self.word_length, self.decimal_length = (np.frombuffer(x, np.uint32) for x in (wl, dl))
+        self.word_end, self.decimal_end = (np.cumsum(x, dtype=np.uint32)[order] for x in (self.word_length, self.decimal_length))
+        self.word_length, self.decimal_length = self.word_length[order], self.decimal_length[order]
+        self.same = np.frombuffer(same, np.uint8)[order]
+        self.words, self.decimals = words, decimals
+
+    def _row(self, word: bytes, k: int) -> tuple[int, int, int]:
+        """The place of a word of which an earlier row has the same hash."""
+        while True:
+            end = int(self.word_end[k])
+            if self.words[end - int(self.word_length[k]) : end] == word:
+                end = int(self.decimal_end[k])
+                return end - int(self.decimal_length[k]), end, int(self.same[k])
+            k += 1
+
+    def find(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """(ids in decimal, decoded bytes) of each word; every word is in the table."""
         raw = [w.encode() for w in words]
-        at = np.searchsorted(self.hashes, np.array([_hash(w) for w in raw], np.uint64)).tolist()
+        at = np.searchsorted(self.hashes, np.array([_hash(w) for w in raw], np.uint64))
         out = []
-        for word, k in zip(raw, at):
-            while True:
-                row = int(self.order[k])
-                end = int(self.word_ends[row])
-                if self.words[int(self.word_ends[row - 1]) if row else 0 : end] == word:
-                    break
-                k += 1
-            out.append(self.ids[int(self.id_ends[row - 1]) if row else 0 : int(self.id_ends[row])].tolist())
+        places = zip(raw, at.tolist(), *(x[at].tolist() for x in (self.word_length, self.word_end, self.decimal_length, self.decimal_end, self.same)))
+        for word, k, n, b, m, d, same in places:
+            c = d - m
+            if self.words[b - n : b] != word:
+                c, d, same = self._row(word, k)
+            decimal = self.decimals[c:d].decode()
+            out.append((decimal, word if same else b"".join(self.pieces[int(x)] for x in decimal.split(","))))
         return out
 
 
@@ -204,26 +237,30 @@ class Filler:
         self.coder, self.find = coder(path), find
         self.decimal: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
-        self.count: dict[str, int] = {}
 
     def rows(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         split = [self.coder.words(t) for t in texts]
-        unknown = {w for words in split for w in words if w not in self.count}
+        unknown = set().union(*split).difference(self.decimal)
         if unknown:
-            if len(self.count) + len(unknown) > CACHE_WORDS:
-                self.decimal, self.decoded, self.count = {}, {}, {}
-                unknown = {w for words in split for w in words}
+            if len(self.decimal) + len(unknown) > CACHE_WORDS:
+                self.decimal, self.decoded = {}, {}
+                unknown = set().union(*split)
             new = list(unknown)
-            for word, ids in zip(new, self.find(new)):
-                self.decimal[word] = ",".join(map(str, ids))
-                self.decoded[word] = b"".join(map(self.coder.pieces.__getitem__, ids))
-                self.count[word] = len(ids)
-        return [_row(sum(map(self.count.__getitem__, w)), ",".join(map(self.decimal.__getitem__, w)), b"".join(map(self.decoded.__getitem__, w))) for w in split]
+            for word, (decimal, decoded) in zip(new, self.find(new)):
+                self.decimal[word], self.decoded[word] = decimal, decoded
+        return [_row(",".join(map(self.decimal.__getitem__, w)), b"".join(map(self.decoded.__getitem__, w))) for w in split]
+
 
+def _values(parts: list):
+    """The broadcast parts one after another; none is kept, so that idle workers hold no table."""
+    for part in parts:
+        yield part.value
+        part.__dict__.pop("_value", None)
 
-def _row(n: int, decimal: str, decoded: bytes) -> tuple[int, str, str]:
+
+def _row(decimal: str, decoded: bytes) -> tuple[int, str, str]:
     text = decoded.decode("utf-8", "replace")
-    return n, hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    return decimal.count(",") + bool(decimal), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
 _ROW = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -243,16 +280,16 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     tables = Tables(spark, "bpe")
     rows = id_and_text(docs, id_col, text_col)
     packed = word_table(rows, path, tables)
-    size = packed.select(F.sum(sum(F.length(c) for c in ("hashes", "word_lengths", "words", "id_lengths", "ids")))).first()[0] or 0
+    size = packed.select(F.sum(sum(F.length(c) for c in _COLUMNS[1:]))).first()[0] or 0
     kind = rows.schema[0].dataType.simpleString()
     if size > table_bytes:
         return _joined(rows, packed, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-    chunks = [spark.sparkContext.broadcast(tuple(bytes(x) for x in row)) for row in packed.drop("n").toLocalIterator()]
+    chunks = list(_broadcast(spark, packed.drop("n").toLocalIterator()))
 
     def fill(batches):
         filler = None
         for batch in batches:
-            filler = filler or Filler(path, Lookup([c.value for c in chunks]).find)
+            filler = filler or Filler(path, Lookup(_values(chunks), coder(path).pieces).find)
             texts, out = batch.column(1).to_pylist(), []
             for a, b in slices(texts):
                 out += filler.rows(texts[a:b])
@@ -261,22 +298,30 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(fill, f"doc_id {kind}, {_ROW}")
 
 
+def _broadcast(spark: SparkSession, rows):
+    """The packed chunks in broadcasts of about ``PART_BYTES``; the driver holds one part at a time."""
+    part, size = [], 0
+    for row in rows:
+        part.append(tuple(bytes(x) for x in row))
+        size += sum(map(len, part[-1]))
+        if size >= PART_BYTES:
+            yield spark.sparkContext.broadcast(part)
+            part, size = [], 0
+    if part:
+        yield spark.sparkContext.broadcast(part)
+
+
 def _joined(rows: DataFrame, packed: DataFrame, path: str) -> DataFrame:
     """The same through a join by word and position, for a table of any size; equal texts share one row."""
     keyed = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
 
     def unpack(batches):
         for batch in batches:
-            for _, _, wl, words, il, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                wl, il = np.frombuffer(wl, np.uint32), np.frombuffer(il, np.uint32)
-                we, ie = np.cumsum(wl, dtype=np.int64), np.cumsum(il, dtype=np.int64) * 4
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([words[e - n : e].decode() for n, e in zip(wl.tolist(), we.tolist())], pa.string()),
-                        pa.array([ids[e - 4 * n : e] for n, e in zip(il.tolist(), ie.tolist())], pa.binary()),
-                    ],
-                    ["word", "ids"],
-                )
+            for _, _, wl, words, dl, decimals, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                wl, dl = np.frombuffer(wl, np.uint32), np.frombuffer(dl, np.uint32)
+                we, de = np.cumsum(wl, dtype=np.int64), np.cumsum(dl, dtype=np.int64)
+                ids = [np.array(decimals[e - n : e].split(b","), np.uint32).tobytes() for n, e in zip(dl.tolist(), de.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([words[e - n : e].decode() for n, e in zip(wl.tolist(), we.tolist())], pa.string()), pa.array(ids, pa.binary())], ["word", "ids"])
 
     def occur(batches):
         for batch in batches:
@@ -297,7 +342,7 @@ def _joined(rows: DataFrame, packed: DataFrame, path: str) -> DataFrame:
                 at = np.concatenate([np.frombuffer(x["places"], np.uint32) for x in found])
                 ids = [x["ids"] for x in found for _ in range(len(x["places"]) // 4)]
                 flat = np.frombuffer(b"".join(ids[k] for k in np.argsort(at)), np.uint32).tolist()
-                out.append(_row(len(flat), ",".join(map(str, flat)), b"".join(map(coder(path).pieces.__getitem__, flat))))
+                out.append(_row(",".join(map(str, flat)), b"".join(map(coder(path).pieces.__getitem__, flat))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *_row_arrays(out)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     words = packed.mapInArrow(unpack, "word string, ids binary").hint("merge")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.bpe import coder
+from veilwright.llm.bpe import coder, vocabulary_size
 from veilwright.llm.common import Tables, id_and_text
 
 WINDOW = 1024
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     rows = tokenized(id_and_text(docs, id_col, text_col), path, tables, window)
     pieces = rows.where("kind = 0")
     n, total = pieces.agg(F.count(F.lit(1)), F.sum(F.length("tail"))).first()
-    n_terms = len(coder(path).pieces)
+    n_terms = vocabulary_size(path)
     df = _frequencies(rows, n_terms)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).clip(min=0).astype(np.float32)
     average = (total or 0) / 4 / max(n, 1)
