@@ -32,7 +32,8 @@ from veilwright.llm.common import Tables, id_and_text, slices
 TABLE_BYTES = 256 << 20
 PART_BYTES = 16 << 20
 CHUNK_WORDS = 1 << 15
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
+STEP_ROWS = 256
 
 #: Characters below this point have the same classes in every Unicode version at hand.
 _STABLE = 0x530
@@ -290,9 +291,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         filler = None
         for batch in batches:
             filler = filler or Filler(path, Lookup(_values(chunks), coder(path).pieces).find)
-            texts, out = batch.column(1).to_pylist(), []
-            for a, b in slices(texts):
-                out += filler.rows(texts[a:b])
+            out = []
+            for k in range(0, batch.num_rows, STEP_ROWS):
+                texts = batch.column(1).slice(k, STEP_ROWS).to_pylist()
+                for a, b in slices(texts):
+                    out += filler.rows(texts[a:b])
             yield pa.RecordBatch.from_arrays([batch.column(0), *_row_arrays(out)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(fill, f"doc_id {kind}, {_ROW}")
