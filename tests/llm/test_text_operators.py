@@ -226,6 +226,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in got if not r.predicted}
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_toxicity_when_toxic_rows_are_a_third(spark, copies):
+    rnd = random.Random(9)
+    plain = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    hot = " ".join(["vileword", "nastything", *rnd.choices(plain, k=10)])
+    rows, toxic = [], set()
+    for k in range(1200):
+        words = rnd.choices(plain, k=rnd.randint(5, 40))
+        if k % 3 == 0 or k % 31 == 0:
+            toxic.add(k)
+            words.append("vileword")
+        rows.append((k, hot if copies and k % 3 == 0 else " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k in toxic)) for k in range(0, 1200) if k % 4 < 2], "doc_id long, toxic int")
+    held = [r for r in toxicity.toxicity(d, labels).collect() if r.held_out]
+    assert sum(r.predicted for r in held if r.doc_id in toxic) >= 0.95 * sum(r.doc_id in toxic for r in held)
+    assert sum(r.predicted for r in held if r.doc_id not in toxic) <= 0.02 * len(held)
+
+
 def test_toxicity_of_awkward_rows(spark):
     _, labels = labelled(spark)
     d = docs(spark)

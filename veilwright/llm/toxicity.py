@@ -28,11 +28,8 @@ FEATURES = 4_096
 STEPS = 600
 #: How far below zero, as a share of the prior, the corrected risk may fall before a step is taken back.
 SLACK = 0.2
-#: A bucket becomes a feature if positives hold it this many times as often as unlabelled texts, by so many deviations.
-LIFT = 4.0
+#: A bucket becomes a feature if positives hold it more often than clean texts do by so many deviations.
 GAIN = 6.0
-#: ... and if at least this share of the positives holds it.
-SUPPORT = 0.01
 THRESHOLD = 0.7
 
 
@@ -112,19 +109,29 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id
     return fit([b for b, y in zip(buckets, label) if y], [b for b, y in zip(buckets, label) if not y], prior)
 
 
+def chosen(df_p: np.ndarray, df_u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """The buckets that become features, sorted, from the numbers of texts that hold each.
+
+    Unlabelled texts are toxic ones by the share ``prior``, so rates are compared with those of the clean
+    texts among them: a word of toxic texts stands out whatever part of all rows they make up.
+    """
+    rate_p, rate_u = df_p / n_p, df_u / n_u
+    rate_n = np.maximum(rate_u - prior * rate_p, 0) / (1 - prior)
+    noise = (rate_u * (1 - rate_u) / n_u + 0.25 / n_u**2) / (1 - prior) ** 2
+    spread = np.sqrt(rate_n * (1 - rate_n) / n_p + 0.25 / n_p**2 + noise)
+    gain = np.where(df_p >= min(3, n_p), (rate_p - rate_n) / spread, 0)
+    kept = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
+    return kept[gain[kept] >= GAIN]
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, decay: float = 3e-5) -> Model:
     """Full-batch Adam on the non-negative risk with logistic loss."""
     size = 1 << BITS
     prior = min(max(prior, 0.01), 0.5)
     df_p = np.bincount(np.concatenate([np.zeros(0, np.int64), *positive]), minlength=size)
     df_u = np.bincount(np.concatenate([np.zeros(0, np.int64), *unlabelled]), minlength=size)
+    kept = chosen(df_p, df_u, len(positive), len(unlabelled), prior)
     n_p, n_u = len(positive), len(unlabelled)
-    rate_p, rate_u = df_p / n_p, df_u / n_u
-    spread = np.sqrt(rate_u * (1 - rate_u) / n_p + 0.25 / n_p**2)
-    marked = (df_p >= min(3, n_p)) & (rate_p >= SUPPORT) & (rate_p >= LIFT * rate_u)
-    gain = np.where(marked, (rate_p - rate_u) / spread, 0)
-    kept = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    kept = kept[gain[kept] >= GAIN]
     column = np.full(size, -1, np.int64)
     column[kept] = np.arange(len(kept))
 
