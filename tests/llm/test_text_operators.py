@@ -166,6 +166,27 @@ def test_neighbours_share_rare_terms():
     assert scores.argmax() == 5
 
 
+def test_neighbours_by_all_terms_of_whole_documents():
+    idf = np.linspace(9, 1, 2000).astype(np.float32)
+    rare, common, other = np.arange(30), np.arange(1000, 1300), np.arange(1300, 1600)
+    tails = [np.concatenate([rare, common]), np.concatenate([rare[:24], other[:290]]), common, other]
+    s = packing.Shard([t.astype(np.uint32) for t in tails], idf, 300)  # the third shares none of the 24 rarest terms
+    assert s.neighbours(0)[2] > s.neighbours(0)[1] > s.neighbours(0)[3] == 0
+    whole = [(np.arange(100), np.full(100, 9)), (np.arange(1500, 1600), np.full(100, 9)), (np.arange(100), np.full(100, 9))]
+    s = packing.Shard([np.zeros(1, np.uint32)] * 3, idf, 900, whole=whole)
+    scores = s.neighbours(0)
+    assert scores[2] > 0 == scores[1]
+    norm = packing.K1 * (1 - packing.B + packing.B)
+    assert np.isclose(scores[2], (idf[:100] * 9 * (packing.K1 + 1) / (9 + norm)).sum())
+
+
+def test_windows_search_every_rank_for_a_fit():
+    shared = np.arange(100, 200)
+    tails = [np.resize(shared, 1000), *[np.resize(shared, 500 + k) for k in range(40)], np.full(24, 7)]
+    first = next(packing.Shard([t.astype(np.uint32) for t in tails], np.full(300, 5.0, np.float32), 500).windows())
+    assert first == [(0, 0, 1000), (41, 0, 24)]
+
+
 # -- secrets --------------------------------------------------------------------------------------------
 
 

@@ -2,10 +2,13 @@
 
 Each document's ids (then the separator id) are cut into full windows, which need no
 neighbours, and a tail.  Tails are dealt by hash into shards of about ``SHARD`` rows; every
-shard holds an inverted index of its tails, scored with document frequencies counted over all
-whole documents.  Windows are filled greedily: the longest unused tail is the seed, the highest
-scoring unused neighbours that fit follow, and the best one left is cut to fill the rest, its
-remainder staying in the index.  So only the last window of a shard is padded.
+shard indexes the whole documents of its tails and scores them for all terms of the seed's whole
+document, with document frequencies counted over all documents.  Windows are filled greedily: the
+longest unused tail is the seed, the highest scoring unused neighbours that fit follow, however
+low their rank, and the best one left is cut to fill the rest, its remainder staying in the index.
+So only the last window of a shard is padded.
+
+A seed sees the tails of its own shard only, not those of other shards (recall: README).
 
 Scale: one pass writes windows' checksums, tails and per-task term counts; terms are token ids,
 so counts have at most the vocabulary's size and are the only thing sent to the driver.  Only
@@ -27,8 +30,6 @@ from veilwright.llm.common import Tables, id_and_text
 WINDOW = 1024
 SEPARATOR = 0
 SHARD = 512
-QUERY_TERMS = 24
-NEIGHBOURS = 32
 K1, B = 1.2, 0.75
 
 
@@ -37,28 +38,32 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def tokenized(docs: DataFrame, path: str, tables: Tables, window: int = WINDOW) -> DataFrame:
-    """Written rows: kind 0 for documents (full windows' checksums, tail ids), kind 1 for a task's document frequencies."""
+    """Written rows: kind 0 for documents (full windows' checksums, tail ids, all terms and their counts if the tail is not all), kind 1 for a task's document frequencies."""
     id_kind = docs.schema[0].dataType.simpleString()
+    names = ["kind", "doc_id", "doc_tokens", "crcs", "tail", "terms", "counts"]
 
     def run(batches):
         c = coder(path)
         df, seen = np.zeros(len(c.pieces), np.uint32), False
         for batch in batches:
             seen = seen or batch.num_rows > 0
-            totals, crcs, tails = [], [], []
+            totals, crcs, tails, terms, counts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = np.array([*c.ids(text), SEPARATOR], np.uint32)
-                df[np.unique(ids)] += 1
+                held, times = np.unique(ids, return_counts=True)
+                df[held] += 1
                 cut = len(ids) // window * window
                 totals.append(len(ids))
                 crcs.append([_crc(ids[k : k + window]) for k in range(0, cut, window)])
                 tails.append(ids[cut:].tobytes())
+                terms.append(held.tobytes() if cut else b"")
+                counts.append(times.astype(np.uint32).tobytes() if cut else b"")
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column(0), pa.array(totals, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["kind", "doc_id", "doc_tokens", "crcs", "tail"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column(0), pa.array(totals, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, batch.column(0).type), pa.array([0], pa.int64()), pa.array([[]], pa.list_(pa.int64())), pa.array([df.tobytes()], pa.binary())], ["kind", "doc_id", "doc_tokens", "crcs", "tail"])
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, batch.column(0).type), pa.array([0], pa.int64()), pa.array([[]], pa.list_(pa.int64())), pa.array([df.tobytes()], pa.binary()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names)
 
-    return tables.write(docs.mapInArrow(run, f"kind int, doc_id {id_kind}, doc_tokens long, crcs array<long>, tail binary"))
+    return tables.write(docs.mapInArrow(run, f"kind int, doc_id {id_kind}, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary"))
 
 
 def _frequencies(rows: DataFrame, n_terms: int) -> np.ndarray:
@@ -80,34 +85,35 @@ def _frequencies(rows: DataFrame, n_terms: int) -> np.ndarray:
 
 
 class Shard:
-    """The inverted index of some tails and the greedy filling of windows from it."""
+    """The index of some tails' whole documents and the greedy filling of windows from the tails.
+
+    ``whole`` has each document's terms and their counts; without it the tails are the documents.
+    """
 
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, average: float, window: int = WINDOW):
+    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, average: float, window: int = WINDOW, whole: list[tuple[np.ndarray, np.ndarray]] | None = None):
         self.tails, self.window = tails, window
         n = len(tails)
-        lengths = np.array([len(t) for t in tails], np.int64)
-        owner = np.repeat(np.arange(n), lengths)
-        flat = np.concatenate([*tails, np.zeros(0, np.uint32)]).astype(np.int64)
-        pairs, tf = np.unique(flat * n + owner, return_counts=True)
-        terms, docs = pairs // n, pairs % n
-        norm = K1 * (1 - B + B * lengths / max(average, 1e-9))
-        self.weights = idf[terms] * tf * (K1 + 1) / (tf + norm[docs])
-        self.docs = docs
-        self.terms, self.begins = np.unique(terms, return_index=True)
-        self.ends = np.append(self.begins[1:], len(terms))
-        self.idf = idf
+        whole = whole or [np.unique(t, return_counts=True) for t in tails]
+        sizes = np.array([c.sum() for _, c in whole], np.int64)
+        docs = np.repeat(np.arange(n), [len(t) for t, _ in whole])
+        terms = np.concatenate([*(t for t, _ in whole), np.zeros(0, np.uint32)]).astype(np.int64)
+        tf = np.concatenate([*(c for _, c in whole), np.zeros(0, np.int64)])
+        held = np.bincount(terms, minlength=len(idf))
+        shared = np.flatnonzero(held > 1)  # a term of one document cannot tell others apart
+        at = np.full(len(held), -1, np.int64)
+        at[shared] = np.arange(len(shared))
+        norm = K1 * (1 - B + B * sizes / max(average, 1e-9))
+        keep = at[terms] >= 0
+        docs, terms, tf = docs[keep], terms[keep], tf[keep]
+        self.weights = np.zeros((len(shared), n), np.float32)
+        self.weights[at[terms], docs] = idf[terms] * tf * (K1 + 1) / (tf + norm[docs])
+        self.rows = [at[t][at[t] >= 0] for t, _ in whole]
+        self.left = np.array([len(t) for t in tails], np.int64)
         self.from_at = np.zeros(n, np.int64)
-        self.left = lengths.copy()
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """BM25 scores of all tails for the seed's rarest terms that another tail of the shard has."""
-        at = np.searchsorted(self.terms, np.unique(self.tails[seed]))
-        at = at[self.ends[at] - self.begins[at] > 1]
-        best = at[np.argsort(-self.idf[self.terms[at]], kind="stable")[:QUERY_TERMS]]
-        if not len(best):
-            return np.zeros(len(self.tails))
-        posts = np.concatenate([np.arange(a, b) for a, b in zip(self.begins[best].tolist(), self.ends[best].tolist())])
-        return np.bincount(self.docs[posts], self.weights[posts], len(self.tails))
+        """BM25 scores of all documents for all terms of the seed's document that another one of the shard has."""
+        return self.weights[self.rows[seed]].sum(axis=0)
 
     def windows(self):
         """Lists of (tail, start in it, length); each id of each tail is in exactly one."""
@@ -130,8 +136,10 @@ class Shard:
                 if len(open_):
                     scores = self.neighbours(seed)[open_]
                     ranked = open_[np.argsort(-scores, kind="stable")].tolist()
-                    for k in ranked[:NEIGHBOURS]:
-                        if self.left[k] <= room:
+                    for k, length in zip(ranked, self.left[ranked].tolist()):
+                        if not room:
+                            break
+                        if length <= room:
                             room -= take(k, room)
                     for k in ranked:
                         if not room:
@@ -150,11 +158,11 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     tables = Tables(docs.sparkSession, "packing")
     rows = tokenized(id_and_text(docs, id_col, text_col), path, tables, window)
     pieces = rows.where("kind = 0")
-    n, total = pieces.agg(F.count(F.lit(1)), F.sum(F.length("tail"))).first()
+    n, total = pieces.agg(F.count(F.lit(1)), F.sum("doc_tokens")).first()
     n_terms = vocabulary_size(path)
     df = _frequencies(rows, n_terms)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).clip(min=0).astype(np.float32)
-    average = (total or 0) / 4 / max(n, 1)
+    average = (total or 0) / max(n, 1)
     shards = max(1, -(-n // shard))
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     id_kind = rows.schema["doc_id"].dataType.simpleString()
@@ -165,12 +173,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         ids = table.column("doc_id").to_pylist()
         totals = table.column("doc_tokens").to_pylist()
         tails = [np.frombuffer(t.as_py(), np.uint32) for t in table.column("tail")]
+        stored = [[np.frombuffer(x.as_py(), np.uint32) for x in table.column(c)] for c in ("terms", "counts")]
+        whole = [(t, c) if len(t) else np.unique(tail, return_counts=True) for t, c, tail in zip(*stored, tails)]
         out, sequence = [], number << 32
         for k, crcs in enumerate(table.column("crcs").to_pylist()):
             for w, crc in enumerate(crcs):
                 out.append((ids[k], w * window, window, crc, totals[k], sequence, 0))
                 sequence += 1
-        for found in Shard(tails, shared.value, average, window).windows():
+        for found in Shard(tails, shared.value, average, window, whole).windows():
             offset = 0
             for k, a, length in found:
                 out.append((ids[k], totals[k] - len(tails[k]) + a, length, _crc(tails[k][a : a + length]), totals[k], sequence, offset))
