@@ -90,6 +90,20 @@ def test_personal_data_rows(spark):
     assert pii.find_personal_data(empty(spark)).count() == 0
 
 
+def test_ibans_end_where_the_checksum_passes():
+    grouped, plain, norway = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947"
+    after = ["", " BIC COBADEFFXXX", " EUR now", " 2024", " 00 I think", " Europe", " DE 12", ", 7", " " + "A1B2 " * 9, " NO SUCH THING"]
+    for number in (grouped, plain, norway):
+        for rest in after:
+            t = f"IBAN {number}{rest}"
+            assert [x[1:3] for x in pii.spans(t) if x[0] == "iban"] == [(5, 5 + len(number))], t
+    both = f"{grouped} {norway}"
+    assert [both[a:b] for k, a, b, _ in pii.spans(both) if k == "iban"] == [grouped, norway]
+    assert not any(x[0] == "iban" for t in (plain + "7", plain + "x", "x" + plain, "AA11 " + "X" * 30) for x in pii.spans(t))
+    shifted = f"AB12 {grouped}"  # what looks like the beginning of a number is not one
+    assert [shifted[a:b] for k, a, b, _ in pii.spans(shifted) if k == "iban"] == [grouped]
+
+
 # -- tokens --------------------------------------------------------------------------------------------
 
 

@@ -25,7 +25,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_ENDS = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
@@ -67,6 +68,22 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers; of the ends that close a group of characters, the last one that passes mod-97 counts."""
+    found, at = [], 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        # one character more, as a search does not look beyond its end
+        for end in reversed([e.end() for e in _ENDS.finditer(text, m.start(), m.end() + 1) if e.end() <= m.end()]):
+            if len(text[m.start() : end].replace(" ", "")) < 15:
+                break
+            if mod97(text[m.start() : end]):
+                found.append((m.start(), end))
+                at = end
+                break
+    return found
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The base spans, by kind as listed, then by start."""
     spans = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
@@ -92,9 +109,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """All spans with scores: the base spans, then added ones that a checksum or nearby words confirm."""
     text = text or ""
     out = [(k, a, b, score(text, k, a, b)) for k, a, b in base_spans(text)]
-    for m in _IBAN.finditer(text):
-        if len(m[0].replace(" ", "")) <= 34 and mod97(m[0]):
-            out.append(("iban", *m.span(), score(text, "iban", *m.span())))
+    out += [("iban", a, b, score(text, "iban", a, b)) for a, b in _ibans(text)]
     for m in _NATIONAL.finditer(text):
         s = score(text, "national_id", *m.span())
         if s >= ACCEPT and m[0][:3] not in ("000", "666") and m[0][0] != "9":
