@@ -390,3 +390,20 @@ def test_reading_archives():
     for raw in (data, gzip.compress(data), data + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort"):
         assert [(h["warc-type"], b) for h, b in warc.read_records(raw)] == [("response", b"hello\r\n\r\nx"), ("revisit", b"")]
     assert list(warc.read_records(b"")) == []
+
+
+def test_reading_goes_on_after_damaged_records():
+    import gzip
+
+    def record(name, length=None):
+        return b"WARC/1.1\r\nX-Name: " + name + (b"" if length == 0 else b"\r\nContent-Length: %d" % (length or 5)) + b"\r\n\r\nhello\r\n\r\n"
+
+    for bad in (b"garbage\r\n\r\n", record(b"bad", 0), record(b"bad", 3), record(b"bad", 55), record(b"bad", 9999)):
+        data = record(b"a") + bad + record(b"b") + record(b"c")
+        for raw in (data, gzip.compress(data)):
+            skipped = []
+            assert [h["x-name"] for h, _ in warc.read_records(raw, skipped)] == ["a", "b", "c"] and skipped == [len(bad)], bad
+    member = gzip.compress(record(b"bad") * 50)
+    broken = member[:20] + b"\xff" * 20 + member[40:]
+    skipped = []
+    assert [h["x-name"] for h, _ in warc.read_records(gzip.compress(record(b"a")) + broken + gzip.compress(record(b"b")), skipped)][-1] == "b" and sum(skipped) >= len(broken)

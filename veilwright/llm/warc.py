@@ -14,8 +14,8 @@ of their moment by an equi-join, in which adaptive execution may split a hot key
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,28 +107,59 @@ def merged_headers(stored: Column, new: Column) -> Column:
 _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)", re.I | re.M)
 
 
-def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, content) of each record of a WARC file's bytes, gzipped or not; stops at a damaged record."""
+_VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
+
+
+def _unzipped(data: bytes, skipped: list[int]) -> Iterator[bytes]:
+    """The contents of the gzip members; after a damaged one, as far as it could be read, the next member follows."""
+    at = 0
+    while at < len(data):
+        member, out, begin = zlib.decompressobj(31), [], at
+        try:
+            while at < len(data) and not member.eof:
+                out.append(member.decompress(data[at : at + 65536]))
+                at += 65536
+        except zlib.error:
+            pass
+        yield b"".join(out)
+        if member.eof:
+            at = min(at, len(data)) - len(member.unused_data)
+            if at < len(data) and not data.startswith(b"\x1f\x8b", at):
+                begin, at = at, data.find(b"\x1f\x8b\x08", at)
+                at = len(data) if at < 0 else at
+                skipped.append(at - begin)
+        else:
+            at = data.find(b"\x1f\x8b\x08", begin + 1)
+            at = len(data) if at < 0 else at
+            skipped.append(at - begin)
+
+
+def read_records(data: bytes, skipped: list[int] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, content) of each record of a WARC file's bytes, gzipped or not.
+
+    After a damaged record reading goes on at the next header; ``skipped`` gets the bytes of each gap
+    (compressed ones for a damaged gzip member).
+    """
+    skipped = [] if skipped is None else skipped
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = b"".join(_unzipped(data, skipped))
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            return
-        head = data[at:end]
+        head = data[at:end] if end >= 0 and _VERSION.match(data, at) else b""
         length = _LENGTH.search(head)
-        if not length:
-            return
+        stop = end + 4 + int(length[1]) if length else len(data) + 1
+        after = stop
+        while data.startswith(b"\r\n", after):
+            after += 2
+        if stop > len(data) or not (after == len(data) or after - stop >= 4 or _VERSION.match(data, after)):
+            following = _VERSION.search(data, at + 1)
+            skipped.append((following.start() if following else len(data)) - at)
+            at += skipped[-1]
+            continue
         fields = {}
         for line in head.split(b"\r\n")[1:]:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        begin = end + 4
-        stop = begin + int(length[1])
-        if stop > len(data):
-            return
-        yield fields, data[begin:stop]
-        at = stop
-        while data.startswith(b"\r\n", at):
-            at += 2
+        yield fields, data[end + 4 : stop]
+        at = after
