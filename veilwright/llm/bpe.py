@@ -1,8 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Spark splits texts into words (the pre-tokens of the tokenizer) and keeps each distinct word
-once; each is encoded once; the ids come back to every position.  Decoding looks each id up in
-the id-to-piece table, whose size is that of the vocabulary.
+once; each is encoded once; the ids come back to every position.  Decoding is a look-up of pieces
+once per distinct word, not a join of each document's ids: a word whose pieces give its own bytes is
+marked so when it is encoded, and others are decoded from a list of the vocabulary's pieces.
 
 Scale: the distinct-word table is written in packed chunks and measured.  While it is within
 ``TABLE_BYTES`` it is broadcast in packed form and positions are filled in where texts are read,
