@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.docs import docs, empty
 from veilwright.llm import components, simhash
@@ -95,11 +96,12 @@ def test_links_equal_all_pairs(spark, bucket):
     fps = list(dict.fromkeys(fps))
     ids = list(range(1000, 1000 + len(fps)))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    nodes = spark.createDataFrame(list(zip(signed, ids)), "fp long, node long")
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
     tables = Tables(spark, "test")
     links = tables.write(simhash.near_links(nodes, tables, bucket=bucket))
     got = {r.node: r.component for r in components.connected_components(links, tables).collect()}
-    assert [got.get(i, i) for i in ids] == classes(fps, ids)
+    root = [got.get(f, f) for f in signed]
+    assert [min(i for i, r in zip(ids, root) if r == own) for own in root] == classes(fps, ids)
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -126,3 +128,29 @@ def test_components_of_a_path_and_a_hub(spark):
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(path + hub + [(5, 5)], "u long, v long"), tables).collect()}
     assert all(got[k] == 0 for k in range(61)) and all(got[k] == 1000 for k in range(1000, 1701))
     assert components.connected_components(spark.createDataFrame([], "u long, v long"), tables).count() == 0
+
+
+def test_near_duplicates_with_string_ids(spark):
+    d = docs(spark).withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    plain = {r.doc_id: r for r in simhash.near_duplicates(docs(spark)).collect()}
+    got = simhash.near_duplicates(d).collect()
+    assert len(got) == d.count()
+    classes = {}
+    for r in got:
+        if r.doc_id is not None:
+            classes.setdefault(r.component_id, set()).add(int(r.doc_id[4:]))
+            assert r.fingerprint == plain[int(r.doc_id[4:])].fingerprint
+    by_number = {}
+    for r in plain.values():
+        if r.doc_id is not None:
+            by_number.setdefault(r.component_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, by_number.values()))
+    assert all(c == min(f"doc-{k}" for k in v) for c, v in classes.items())
+    assert {r.doc_id for r in simhash.one_of_each_group(d).collect() if r.doc_id} == set(classes)
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    d = spark.createDataFrame([(5, a), (6, a), (5, b), (3, b), (None, b), (7, None), (7, ""), (7, None)], "doc_id long, text string")
+    kept = sorted(map(repr, ((r.doc_id, r.text) for r in simhash.one_of_each_group(d).collect())))
+    assert kept == sorted(map(repr, [(5, a), (3, b), (None, b), (7, None), (7, ""), (7, None)]))

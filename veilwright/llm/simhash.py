@@ -100,15 +100,15 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def _link_buckets(radius: int):
     def linked(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         key = None
 
         def forest() -> list[tuple[int, int]]:
-            fps, nodes = (np.concatenate(x) for x in zip(*held))
-            return [(int(nodes[x]), int(nodes[y])) for x, y in _forest(fps, radius)]
+            fps = np.concatenate(held)
+            return [(int(fps[x]), int(fps[y])) for x, y in _forest(fps, radius)]
 
         for batch in batches:
-            mask, value, fp, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            mask, value, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if not len(fp):
                 continue
             cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
@@ -119,7 +119,7 @@ def _link_buckets(radius: int):
                     links += forest()
                     held = []
                 key = now
-                held.append((fp[a:b], node[a:b]))
+                held.append(fp[a:b])
             yield _links(links)
         if held:
             yield _links(forest())
@@ -132,31 +132,31 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_links(nodes: DataFrame, tables: Tables, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links (u, v) between ``nodes.node`` whose closure is that of all pairs of ``nodes.fp`` (distinct) within ``radius``."""
+    """Links (u, v) between fingerprints whose closure is that of all pairs of ``nodes.fp`` (distinct) within ``radius``."""
     masks = [_signed(m) for m in covering_masks(radius)]
     family = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-    rows = nodes.select("fp", "node", family.alias("mask"))
+    rows = nodes.select("fp", family.alias("mask"))
     links, level = [], 0
     while True:
         level += 1
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        counted = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.min("node").alias("u"), F.max("node").alias("v"))
+        counted = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
         shared = tables.write(counted.where("n > 1"))
-        links.append(shared.where(f"n = 2 and bit_count(a ^ b) <= {radius}").select("u", "v"))
+        links.append(shared.where(f"n = 2 and bit_count(u ^ v) <= {radius}").select("u", "v"))
         # with few bits left free a bucket has at most 2 ** FREE fingerprints, however they are spread
         large_sql = f"(n > {bucket} and bit_count(~mask) > {FREE})"
         sizes = shared.agg(F.count(F.when(F.expr(f"n > 2 and not {large_sql}"), 1)), F.count(F.when(F.expr(large_sql), 1))).first()
         if sizes[0]:
             keys = small_side(shared.where(f"n > 2 and not {large_sql}").select("mask", "value"), sizes[0])
-            members = rows.join(keys, ["mask", "value"]).select("mask", "value", "fp", "node")
+            members = rows.join(keys, ["mask", "value"]).select("mask", "value", "fp")
             dealt = members.repartition("mask", "value").sortWithinPartitions("mask", "value")
             links.append(tables.write(dealt.mapInArrow(_link_buckets(radius), "u long, v long").distinct()))
         if not sizes[1]:
             break
         keys = small_side(shared.where(large_sql).select("mask", "value"), sizes[1])
-        large = rows.join(keys, ["mask", "value"]).select("fp", "node", F.col("mask").alias("outer_mask"))
-        cut = large.select("fp", "node", "outer_mask", family_column(masks, level).alias("inner_mask"))
-        rows = tables.write(cut.select("fp", "node", F.col("outer_mask").bitwiseOR(F.col("inner_mask")).alias("mask")).distinct())
+        large = rows.join(keys, ["mask", "value"]).select("fp", F.col("mask").alias("outer_mask"))
+        cut = large.select("fp", "outer_mask", family_column(masks, level).alias("inner_mask"))
+        rows = tables.write(cut.select("fp", F.col("outer_mask").bitwiseOR(F.col("inner_mask")).alias("mask")).distinct())
     out = links[0]
     for part in links[1:]:
         out = out.union(part)
@@ -172,22 +172,49 @@ def family_column(masks: list[int], level: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest reachable doc_id).
 
-    Null, empty and blank texts have fingerprint zero and are linked like any other.  Repeated
-    rows share their class.  A row without id gets the class of its fingerprint, if a row with an
-    id has the same fingerprint, else null.  An empty table gives no rows.
+    Ids are of any ordered type: links join fingerprints, and ids only come in at the end.  Null,
+    empty and blank texts have fingerprint zero and are linked like any other.  Repeated rows share
+    their class.  A row without id gets its class's id, which is null only if no row of the class has
+    one.  An empty table gives no rows.
     """
     tables = Tables(docs.sparkSession, "simhash")
     hashed = tables.write(fingerprints(docs, id_col, text_col, words))
-    nodes = tables.write(hashed.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
+    nodes = tables.write(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = tables.write(near_links(nodes, tables, radius, bucket))
     count = links.count()
-    classes = connected_components(links, tables)
-    labels = nodes.join(small_side(classes, 2 * count), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    classes = connected_components(links, tables).select(F.col("node").alias("fp"), F.col("component"))
+    known = tables.write(nodes.join(small_side(classes, 2 * count), "fp", "left"))
+    ids = known.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = known.join(small_side(ids, 2 * count, id_bytes(ids, "component_id")), "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     joined = hashed.join(labels.hint("merge"), "fp", "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def id_bytes(rows: DataFrame, column: str) -> int:
+    """Bytes a row of a number and an id may take at most in a broadcast; ids of open length count as too long."""
+    return 24 if rows.schema[column].dataType.typeName() in ("byte", "short", "integer", "long") else 1 << 20
+
+
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their near-duplicate class, with all their columns; rows without id stay."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti")
+    """The documents whose id is the smallest of their near-duplicate class, with all their columns.
+
+    Rows without id stay, and so do all rows that repeat a kept id and text.  Where one id has
+    several texts, each text goes or stays by its own class.  An empty table gives no rows.
+    """
+    tables = Tables(docs.sparkSession, "one-of-each")
+    found = tables.write(near_duplicates(docs).where("doc_id is not null"))
+    goes = F.col("doc_id") != F.col("component_id")
+    verdict = tables.write(found.groupBy("doc_id").agg(F.max(goes).alias("some"), F.min(goes).alias("all")).where("some"))
+    left = docs.join(verdict.where("all").select("doc_id").hint("merge"), "doc_id", "left_anti")
+    mixed = verdict.where("not all").select("doc_id")
+    if mixed.isEmpty():
+        return left.select(*[f"`{c}`" for c in docs.columns])
+    # only the texts of such ids are hashed again
+    out = found.join(mixed.hint("merge"), "doc_id").where(goes).select("doc_id", "fingerprint").distinct()
+    own = left.join(mixed.hint("merge"), "doc_id", "left_semi").withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    hashed = fingerprints(own.dropDuplicates(["__sha"]), "__sha").select(F.col("doc_id").alias("__sha"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("__fp"))
+    marked = own.join(hashed, "__sha")
+    gone = out.select(F.col("doc_id").alias("__i"), F.col("fingerprint").alias("__f"))
+    kept = marked.join(gone, (F.col("doc_id") == F.col("__i")) & (F.col("__fp") == F.col("__f")), "left_anti")
+    columns = [f"`{c}`" for c in docs.columns]
+    return left.join(mixed.hint("merge"), "doc_id", "left_anti").select(*columns).union(kept.select(*columns))
