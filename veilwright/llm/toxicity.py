@@ -4,9 +4,11 @@ A linear model over the presence of hashed words and word beginnings is trained
 confirmed toxic documents (positive) and other documents (unlabelled, toxic ones among them) by
 minimising the class-prior-corrected risk  p R_pos(+) + max(0, R_unl(-) - p R_pos(-)).
 
-Training reads a bounded sample (``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows, the smallest by a
-hash of the id) as sparse features made on the executors; scoring is one row-local Arrow pass
-over every whole text with a model of fixed size.
+Words become features by their document frequencies, counted over all usable texts.  The gradient
+steps read a bounded sample: at most ``max_positive`` confirmed and ``max_unlabelled`` other rows,
+the smallest by a hash of the id, each as at most ``FEATURES`` numbers.  Settings of the training
+are chosen by the corrected risk on a part of that sample, never on held-out rows.  Scoring is one
+row-local Arrow pass over every whole text with a model of fixed size.
 """
 
 from __future__ import annotations
@@ -26,11 +28,15 @@ MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 8_000
 FEATURES = 4_096
 STEPS = 600
+#: Settings tried (weight decay); the one with the least risk on the inner validation rows is used.
+DECAYS = (3e-6, 3e-5, 3e-4, 3e-3)
+INNER_FOLDS = 5
 #: How far below zero, as a share of the prior, the corrected risk may fall before a step is taken back.
 SLACK = 0.2
 #: A bucket becomes a feature if positives hold it more often than clean texts do by so many deviations.
 GAIN = 6.0
 THRESHOLD = 0.7
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -41,8 +47,9 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), 1 / (1 + np.exp(-self.bias)))
-        for a, b in slices(texts):
-            docs, buckets = features(texts[a:b], self.bits, self.weights != 0)
+        wanted = self.weights != 0
+        for a, b in slices(texts, SLICE):
+            docs, buckets = features(texts[a:b], self.bits, wanted)
             margin = self.bias + np.bincount(docs, self.weights[buckets], b - a)
             out[a:b] = 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
         return out
@@ -67,27 +74,58 @@ def features(texts: list[str | None], bits: int = BITS, wanted: np.ndarray | Non
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """label and the packed buckets of each text, as sorted uint32 bytes."""
+def _frequencies(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(bucket, n): the number of texts that hold each (wanted) bucket, summed in tasks and then by bucket."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(None if wanted is None else np.packbits(wanted))  # 128 kB
 
     def run(batches):
+        only = None if shared.value is None else np.unpackbits(shared.value).astype(bool)
+        counts = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            texts, labels, packed = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for a, b in slices(texts):
-                docs, buckets = features(texts[a:b])
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts, SLICE):
+                here, n = np.unique(features(texts[a:b], BITS, only)[1], return_counts=True)
+                counts[here] += n
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(counts[held])], ["bucket", "n"])
+
+    return rows.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def _counts(frequencies: DataFrame) -> np.ndarray:
+    out = np.zeros(1 << BITS, np.int64)
+    found = frequencies.toArrow()  # at most one row a bucket
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _hashed(rows: DataFrame, kept: np.ndarray) -> DataFrame:
+    """label, fold and the packed features of each text, as sorted places in ``kept``."""
+    shared = rows.sparkSession.sparkContext.broadcast(kept)
+
+    def run(batches):
+        place = np.full(1 << BITS, -1, np.int64)
+        place[shared.value] = np.arange(len(shared.value))
+        for batch in batches:
+            texts, packed = batch.column(0).to_pylist(), []
+            for a, b in slices(texts, SLICE):
+                docs, buckets = features(texts[a:b], BITS, place >= 0)
                 cuts = np.searchsorted(docs, np.arange(b - a + 1))
-                packed += [buckets[cuts[k] : cuts[k + 1]].astype(np.uint32).tobytes() for k in range(b - a)]
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(packed, pa.binary())], ["label", "buckets"])
+                packed += [place[buckets[cuts[k] : cuts[k + 1]]].astype(np.uint16).tobytes() for k in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], ["label", "fold", "places"])
 
-    return rows.select("text", "label").mapInArrow(run, "label int, buckets binary")
+    return rows.select("text", "label", "fold").mapInArrow(run, "label int, fold int, places binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 7) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 7, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """A model from rows of ``labels`` (id_col, label_col; 1 means toxic) and all other texts as unlabelled ones.
 
     ``usable`` is a condition on doc_id for rows that may be learned from.  The class prior is the
-    share of positives among usable labelled rows.  Ids labelled more than once count as positive if any row
-    says so.  Without positives or without texts the model scores every text zero-ish (its bias).
+    share of positives among usable labelled rows.  ``max_positive`` and ``max_unlabelled`` bound the
+    sample that the gradient steps read; word frequencies come from all usable rows.  Ids labelled more than
+    once count as positive if any row says so; ties of the sampling hash go by id; repeated rows of a
+    sampled id all count.  Without positives or without texts the model scores every text zero-ish (its bias).
     """
     tables = Tables(docs.sparkSession, "toxicity")
     rows = id_and_text(docs, id_col, text_col)
@@ -97,16 +135,28 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id
     marks = tables.write(marks.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")))
     prior = marks.agg(F.avg("label")).first()[0] or 0.0
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    chosen = tables.write(marks.where("label = 1").select("doc_id").orderBy(order, "doc_id").limit(MAX_POSITIVE).withColumn("label", F.lit(1)))
-    unlabelled = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(MAX_UNLABELLED).withColumn("label", F.lit(0))
-    sample = chosen.union(tables.write(unlabelled))
-    picked = rows.join(small_side(sample, MAX_POSITIVE + MAX_UNLABELLED), "doc_id")
-    sets = tables.write(_hashed(picked)).toArrow()
-    label = sets.column("label").to_numpy().astype(bool)
-    buckets = [np.frombuffer(b.as_py(), np.uint32).astype(np.int64) for b in sets.column("buckets")]
-    if not label.any() or label.all():
-        return Model(np.zeros(1 << BITS, np.float32), -4.0)
-    return fit([b for b, y in zip(buckets, label) if y], [b for b, y in zip(buckets, label) if not y], prior)
+    positive = tables.write(marks.where("label = 1").select("doc_id").orderBy(order, "doc_id").limit(max_positive).withColumn("label", F.lit(1)))
+    unlabelled = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(max_unlabelled).withColumn("label", F.lit(0))
+    sample = positive.union(tables.write(unlabelled))
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(INNER_FOLDS)).cast("int").alias("fold")
+    picked = tables.write(rows.join(small_side(sample, max_positive + max_unlabelled), "doc_id").select("text", "label", fold))
+    sizes = {r.label: r.n for r in picked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nothing = Model(np.zeros(1 << BITS, np.float32), -4.0)
+    if len(sizes) < 2:
+        return nothing
+    df_p = _counts(_frequencies(picked.where("label = 1")))
+    seen = df_p >= min(3, sizes[1])
+    df_u = _counts(_frequencies(rows, seen))
+    n_u = rows.count()
+    prior = min(max(prior, 0.01), 0.5)
+    kept = chosen(df_p, df_u, sizes[1], n_u, prior)
+    sets = tables.write(_hashed(picked, kept)).toArrow()  # at most max_positive + max_unlabelled rows of 2 * FEATURES bytes
+    label, folds = sets.column("label").to_numpy().astype(bool), sets.column("fold").to_numpy()
+    places = [np.frombuffer(b.as_py(), np.uint16).astype(np.int64) for b in sets.column("places")]
+    weights = tuned(places, label, folds, prior, len(kept))
+    full = np.zeros(1 << BITS, np.float32)
+    full[kept] = weights[:-1]
+    return Model(full, float(weights[-1]))
 
 
 def chosen(df_p: np.ndarray, df_u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
@@ -124,36 +174,47 @@ def chosen(df_p: np.ndarray, df_u: np.ndarray, n_p: int, n_u: int, prior: float)
     return kept[gain[kept] >= GAIN]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, decay: float = 3e-5) -> Model:
-    """Full-batch Adam on the non-negative risk with logistic loss."""
-    size = 1 << BITS
-    prior = min(max(prior, 0.01), 0.5)
-    df_p = np.bincount(np.concatenate([np.zeros(0, np.int64), *positive]), minlength=size)
-    df_u = np.bincount(np.concatenate([np.zeros(0, np.int64), *unlabelled]), minlength=size)
-    kept = chosen(df_p, df_u, len(positive), len(unlabelled), prior)
-    n_p, n_u = len(positive), len(unlabelled)
-    column = np.full(size, -1, np.int64)
-    column[kept] = np.arange(len(kept))
-
-    def matrix(sets):
-        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        cols = column[np.concatenate([np.zeros(0, np.int64), *sets])]
-        return rows[cols >= 0], cols[cols >= 0], len(sets)
-
-    p, u = matrix(positive), matrix(unlabelled)
-    weights = np.zeros(len(kept) + 1)
+def _matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    return np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate([np.zeros(0, np.int64), *sets]), len(sets)
+
+
+def _margin(m, weights: np.ndarray) -> np.ndarray:
+    return np.bincount(m[0], weights[m[1]], m[2]) + weights[-1]
+
+
+def tuned(places: list[np.ndarray], label: np.ndarray, folds: np.ndarray, prior: float, size: int) -> np.ndarray:
+    """Weights (and the bias) fitted to all rows with the decay whose risk on the rows of fold 0, not fitted to then, is least."""
+
+    def parts(rows: np.ndarray):
+        return [_matrix([places[k] for k in np.flatnonzero(rows & side)]) for side in (label, ~label)]
+
+    inner, outer = parts(folds == 0), parts(folds != 0)
+    decay = DECAYS[1]
+    if all(m[2] for m in (*inner, *outer)):
+        decay = min(DECAYS, key=lambda d: pu_risk(*inner, fit(*outer, prior, size, d), prior))
+    return fit(*parts(np.ones(len(label), bool)), prior, size, decay)
+
+
+def pu_risk(p, u, weights: np.ndarray, prior: float) -> float:
+    """The non-negative risk of positives ``p`` and unlabelled rows ``u``."""
+    m_p, m_u = _margin(p, weights), _margin(u, weights)
+    return float(prior * np.logaddexp(0, -m_p).mean() + max(0.0, np.logaddexp(0, m_u).mean() - prior * np.logaddexp(0, m_p).mean()))
+
+
+def fit(p, u, prior: float, size: int, decay: float = DECAYS[1], steps: int = STEPS) -> np.ndarray:
+    """Full-batch Adam on the non-negative risk with logistic loss; ``p`` and ``u`` are matrices of positives and unlabelled rows."""
+    n_p, n_u = p[2], u[2]
+    weights = np.zeros(size + 1)
     weights[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
 
-    def margin(m):
-        return np.bincount(m[0], weights[m[1]], m[2]) + weights[-1]
-
     def back(m, g):
-        return np.append(np.bincount(m[1], g[m[0]], len(kept)), g.sum())
+        return np.append(np.bincount(m[1], g[m[0]], size), g.sum())
 
     for step in range(1, steps + 1):
-        s_p, s_u = 1 / (1 + np.exp(-margin(p))), 1 / (1 + np.exp(-margin(u)))
-        risk_negative = -np.log1p(-np.minimum(s_u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(s_p, 1 - 1e-12)).mean()
+        m_p, m_u = _margin(p, weights), _margin(u, weights)
+        s_p, s_u = 1 / (1 + np.exp(-m_p)), 1 / (1 + np.exp(-m_u))
+        risk_negative = np.logaddexp(0, m_u).mean() - prior * np.logaddexp(0, m_p).mean()
         g_negative = back(u, s_u / n_u) - back(p, prior * s_p / n_p)
         if risk_negative >= -SLACK * prior:
             g = back(p, prior * (s_p - 1) / n_p) + g_negative
@@ -162,9 +223,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         g[:-1] += decay * weights[:-1]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         weights -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    full = np.zeros(size, np.float32)
-    full[kept] = weights[:-1]
-    return Model(full, float(weights[-1]))
+    return weights
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +258,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns; a null id goes by its own text's score."""
+    """The documents that are not predicted toxic, with all their columns.
+
+    A null id goes by its own text's score; equal texts go or stay together.  An empty table gives no rows.
+    """
     model = train(docs, labels, ~held_out())
     kind = docs.schema
     at = docs.columns.index("text")
