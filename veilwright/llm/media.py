@@ -22,6 +22,7 @@ from veilwright.llm.common import id_and_text
 UNIT = 192
 WIDTH = 64
 TILE = 16
+BAND = 4096
 
 _SPACE = rb"(?:[ \t\r\n\x0b\x0c]|#[^\n\r]*[\n\r])+"
 
@@ -111,13 +112,23 @@ def _decode_bmp(data: bytes) -> np.ndarray:
 
 
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Each target pixel is the exact mean over its (fractional) source area, from an integral image; float64."""
-    data = samples.astype(np.float64)
-    rows, columns = data.shape[:2]
-    table = np.zeros((rows + 1, columns + 1) + data.shape[2:])
-    np.cumsum(np.cumsum(data, axis=0), axis=1, out=table[1:, 1:])
-    table = _edges(table, np.linspace(0, rows, height + 1), 0)
-    table = _edges(table, np.linspace(0, columns, width + 1), 1)
+    """Each target pixel is the exact mean over its (fractional) source area, from an integral image; float64.
+
+    The integral image is made in bands of ``BAND`` rows, each carrying on the sums above it, and read
+    where a target edge falls; so a tall image takes memory for one band beside its samples.
+    """
+    rows, columns = samples.shape[:2]
+    edges = np.linspace(0, rows, height + 1)
+    table = np.zeros((height + 1, width + 1) + samples.shape[2:])
+    above = np.zeros((1, columns + 1) + samples.shape[2:])
+    for a in range(0, rows, BAND):
+        b = min(rows, a + BAND)
+        band = np.zeros((b - a + 1, columns + 1) + samples.shape[2:])
+        np.cumsum(np.cumsum(samples[a:b].astype(np.float64), axis=0), axis=1, out=band[1:, 1:])
+        band += above
+        here = (edges >= a) & ((edges < b) | (b == rows))
+        table[here] = _edges(_edges(band, edges[here] - a, 0), np.linspace(0, columns, width + 1), 1)
+        above = band[-1:]
     sums = table[1:, 1:] - table[:-1, 1:] - table[1:, :-1] + table[:-1, :-1]
     return sums * (height * width) / (rows * columns)
 
@@ -130,7 +141,8 @@ def _edges(table: np.ndarray, at: np.ndarray, axis: int) -> np.ndarray:
 
 
 def grey(samples: np.ndarray) -> np.ndarray:
-    return samples.astype(np.float64) if samples.ndim == 2 else samples @ np.array([0.299, 0.587, 0.114])
+    """Luma of RGB samples in float32; grey samples as they are."""
+    return samples if samples.ndim == 2 else samples @ np.array([0.299, 0.587, 0.114], np.float32)
 
 
 def difference_hash(samples: np.ndarray) -> int:
@@ -154,14 +166,16 @@ def payload_of(text: str | None) -> bytes:
 
 
 def store(payload: bytes) -> bytes:
-    return encode_ppm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3))
+    """One row of 64 RGB pixels for each unit: a P6 file for an odd number of rows, a BMP for an even one."""
+    samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
+    return encode_ppm(samples) if len(samples) % 2 else encode_bmp(samples)
 
 
 MEDIA_SCHEMA = "n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, feature string"
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the text stored as a P6 image, read back, with its tile and difference hash.
+    """One row per input row: the text stored as a P6 or BMP image, read back, with its tile and difference hash.
 
     Null text counts as empty (one unit of spaces).  Equal texts give equal values; a null id is
     carried.  An empty table gives no rows.

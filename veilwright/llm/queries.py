@@ -47,7 +47,7 @@ QUERIES["op5_simhash_dedup"] = op5_simhash_dedup
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")
     return text_media(documents(spark, sf_dir)).select(*columns)
 
 
