@@ -7,6 +7,9 @@ Python, no join, no shuffle.
 
 Scale: row-local; the model is an expression of fixed size.  Training reads the labelled
 findings only (a bounded table, by default one made from a rule).
+
+What is proposed decides what can be found: see ``CANDIDATE``.  A password that is not assigned to
+a telling name, or is shorter than six characters, is not proposed.
 """
 
 from __future__ import annotations
@@ -24,8 +27,17 @@ NEAR = 40
 THRESHOLD = 0.5
 PLACEHOLDER = "[SECRET]"
 
-#: A run of token characters, 16 at least, that holds a digit and a letter; tried once a run.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}"
+#: A name that secrets are assigned to, up to the value; the name may end a longer one (DB_PASSWORD).
+KEYED = r"""(?i:passw(?:or)?d|pwd|secret|token|api.?key|access.?key|private.?key|credential)s?["']? ?[=:] ?["']?"""
+
+#: Candidates: private key blocks; signed tokens of parts joined by dots; values of six characters at least assigned
+#: to a telling name; issued access keys; and runs of 16 token characters at least with a digit and a letter.
+CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+    r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++){1,2}"
+    rf"|{KEYED}[^\s\"'<>,;]{{5,}}[^\s\"'<>,;.)]"
+    r"|(?<![A-Za-z0-9+/_-])(?:(?:AKIA|ASIA)[A-Z0-9]{12,}+(?![A-Za-z0-9+/_-])|(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+)"
+)
 
 #: Words whose presence inside a candidate speaks for an identifier or a placeholder.
 DICTIONARY = (
@@ -43,7 +55,7 @@ DICTIONARY = (
 #: Neighbouring words for and against, prefixes that issuers use, paths of test material.
 FOR_WORDS = r"(password|passwd|pwd|secret|token|api.?key|access.?key|auth|bearer|credential|private.?key|client.?secret)"
 AGAINST_WORDS = r"(?<![a-z0-9.@-])(commit|sha1|sha256|sha512|md5|checksum|digest|integrity|etag|uuid|guid|hash|revision|example|placeholder|dummy|sample|build|version|request.?id|trace)(?![a-z0-9.@-])"
-ISSUED = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ|glpat-|npm_|SG)"
+ISSUED = r"^(-----BEGIN|AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ|glpat-|npm_|SG)"
 TEST_PATH = r"(?i)(^|[/_.-])(test|tests|spec|fixture|fixtures|example|examples|sample|mock|docs?)([/_.-]|$)"
 
 #: Feature names with the SQL that computes each from a candidate ``c`` (value, before, after, path).
@@ -74,7 +86,7 @@ def _feature_sql() -> dict[str, str]:
     return {k: f"cast({v} as double)" for k, v in FEATURES.items()}
 
 
-def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 10_500) -> DataFrame:
     """value, before, after, path, label: findings made from a rule, standing in for a labelled table.
 
     Secrets are random keys as issuers or configurations write them; the others are commit ids,
@@ -82,6 +94,7 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     """
     word = lambda k: f"element_at(array({', '.join(repr(w) for w in DICTIONARY)}), cast(1 + pmod(xxhash64(id, {k}), {len(DICTIONARY)}) as int))"
     plain = "translate(sha2(concat('w', id), 256), '0123456789', 'aeiounrtsl')"
+    one_of = lambda values, k=0: f"element_at(array({', '.join(repr(v) for v in values)}), cast(1 + pmod(xxhash64(id, {k}), {len(values)}) as int))"
     any_word = f"concat(substring({plain}, 1, 5), ' ', substring({plain}, 9, 7), ' ')"
     random36 = "regexp_replace(base64(unhex(sha2(concat('r', id), 256))), '[+/=]', 'q')"
     hex40, hex32 = "sha1(cast(id as string))", "md5(cast(id as string))"
@@ -100,6 +113,12 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
         (f"concat_ws('-', cast(2000 + pmod(id, 25) as string), '11', '02', {word(5)}, {word(6)}, {word(7)})", any_word, 0),
         (f"sha2(cast(id as string), 256)", "element_at(array('sha256:', 'checksum ', 'integrity sha512-', 'etag: \"', 'md5 '), cast(1 + pmod(xxhash64(id), 5) as int))", 0),
         (hex40, "'token = \"'", 2),
+        (f"concat(substring({random36}, 1, 5), {one_of(('!', '@', '#', '.', '$', '%'))}, substring({random36}, 6, cast(2 + pmod(id, 7) as int)))", one_of(("password=", "pwd: ", 'secret = "', "db_password = "), 4), 1),
+        (f"concat('-----BEGIN PRIVATE KEY-----\\n', {random36}, {random36}, '\\n-----END PRIVATE KEY-----')", any_word, 1),
+        (f"concat('eyJ', substring({random36}, 1, 20), '.eyJ', substring({random36}, 3, 30), '.', substring({random36}, 2, 36))", any_word, 1),
+        ("concat('AKIA', translate(upper(substring(sha1(cast(id as string)), 1, 16)), '0123456789', 'GHJKLMPQRS'))", any_word, 1),
+        (f"concat(substring({plain}, 1, cast(6 + pmod(id, 9) as int)), {one_of(('', '.x', '-x', ':x'))})", one_of(("password: ", "token: ", "secret: ", "credentials: "), 5), 0),
+        (f"concat({word(1)}, {one_of(('.', '_', '-', ''))}, {word(2)}, {one_of(('', '()', '.value', '_id'), 6)})", one_of(("password=", "token = ", "api_key: ", "secret="), 5), 0),
         (f"concat({word(1)}, '/', {word(2)}, '/', {word(3)}, '-', cast(pmod(id, 999) as string), '/', {word(4)})", any_word, 0),
     ]
     case = lambda c: "case pmod(id, %d) %s end" % (len(kinds), " ".join(f"when {k} then {x[c]}" for k, x in enumerate(kinds)))
@@ -136,29 +155,39 @@ def _tree_sql(shown: str, names: list[str]) -> str:
 
 
 def scored_candidates(docs: DataFrame, forest: str, text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """``docs`` with ``__found``: array of (value, start, kind, score, ...) in text order; null text counts as empty."""
-    pattern = _sql(CANDIDATE)
+    """``docs`` with ``__found``: array of (gap, match, value, start, kind, score) in text order, and ``__rest``.
+
+    ``gap`` is the text since the match before, ``match`` the value after the name it is assigned to, if any;
+    ``__rest`` is the text after the last match.  Neighbouring words are those of the gaps on either
+    side.  Null text counts as empty.  A lambda reads its own element only, never another column:
+    Catalyst may put that column's expression in its place, and it would run once an element.
+    """
+    pattern, key = _sql(CANDIDATE), _sql(KEYED)
     path = f"coalesce(cast(`{path_col}` as string), '')" if path_col else "''"
     rows = docs.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     rows = rows.withColumn("__m", F.expr(f"regexp_extract_all(__text, '{pattern}', 0)"))
-    rows = rows.withColumn("__g", F.expr(f"case when size(__m) = 0 then array('') else split(__text, '{pattern}', -1) end"))
-    starts = "aggregate(sequence(0, size(__m) - 1), named_struct('p', 0, 's', cast(array() as array<int>)), (a, i) -> named_struct('p', a.p + length(__g[i]) + length(__m[i]), 's', concat(a.s, array(a.p + length(__g[i])))), a -> a.s)"
-    rows = rows.withColumn("__s", F.expr(f"case when size(__m) = 0 then cast(array() as array<int>) else {starts} end"))
-    near = f"lower(substring(__text, greatest(1, __s[i] + 1 - {NEAR}), least({NEAR}, __s[i])))"
-    after = f"lower(substring(__text, __s[i] + length(v) + 1, {NEAR}))"
-    rows = rows.withColumn("__c", F.expr(f"transform(__m, (v, i) -> named_struct('value', v, 'start', __s[i], 'before', {near}, 'after', {after}, 'path', {path}))"))
+    rows = rows.withColumn("__g", F.expr(f"case when size(__m) = 0 then array(__text) else split(__text, '{pattern}', -1) end"))
+    rows = rows.withColumn("__gap", F.expr("slice(__g, 1, size(__m))")).withColumn("__next", F.expr("slice(__g, 2, size(__m))")).withColumn("__rest", F.element_at("__g", -1))
+    starts = "aggregate(arrays_zip(__gap, __m), named_struct('p', 0, 's', cast(array() as array<int>)), (a, z) -> named_struct('p', a.p + length(z.__gap) + length(z.__m), 's', concat(a.s, array(a.p + length(z.__gap)))), a -> a.s)"
+    rows = rows.withColumn("__s", F.expr(starts)).withColumn("__p", F.array_repeat(F.expr(path), F.size("__m")))
+    rows = rows.withColumn("__z", F.expr("arrays_zip(__gap, __m, __next, __s, __p)"))
+    rows = rows.withColumn("__v", F.expr(f"transform(__z, z -> named_struct('z', z, 'value', regexp_replace(z.__m, '^{key}', '')))"))
+    named = "length(v.z.__m) - length(v.value)"
+    before = f"lower(substring(concat(substring(v.z.__gap, -{NEAR}, {NEAR}), substring(v.z.__m, 1, {named})), -{NEAR}, {NEAR}))"
+    fields = f"'gap', v.z.__gap, 'match', v.z.__m, 'value', v.value, 'start', v.z.__s + {named}, 'before', {before}, 'after', lower(substring(v.z.__next, 1, {NEAR})), 'path', v.z.__p"
+    rows = rows.withColumn("__c", F.expr(f"transform(__v, v -> named_struct({fields}))"))
     fields = ", ".join(f"'{k}', {v}" for k, v in _feature_sql().items())
-    rows = rows.withColumn("__f", F.expr(f"transform(__c, c -> named_struct('value', c.value, 'start', c.start, 'before', c.before, {fields}))"))
-    kind = f"case when c.issued = 1 then 'issued_key' when c.words_for = 1 and c.assigned = 1 then 'assignment' when c.hex = 1 then 'hex_token' else 'token' end"
-    rows = rows.withColumn("__found", F.expr(f"transform(__f, c -> named_struct('value', c.value, 'start', c.start, 'kind', {kind}, 'score', {forest}))"))
-    return rows.drop("__m", "__g", "__s", "__c", "__f")
+    rows = rows.withColumn("__f", F.expr(f"transform(__c, c -> named_struct('gap', c.gap, 'match', c.match, 'value', c.value, 'start', c.start, {fields}))"))
+    kind = "case when startswith(c.value, '-----BEGIN') then 'private_key' when c.issued = 1 then 'issued_key' when c.words_for = 1 and c.assigned = 1 then 'assignment' when c.hex = 1 then 'hex_token' else 'token' end"
+    rows = rows.withColumn("__found", F.expr(f"transform(__f, c -> named_struct('gap', c.gap, 'match', c.match, 'value', c.value, 'start', c.start, 'kind', {kind}, 'score', {forest}))"))
+    return rows.drop("__m", "__g", "__gap", "__next", "__s", "__p", "__z", "__v", "__c", "__f")
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """One row per candidate: doc_id, ordinal, start, end, kind, score, is_secret, value_sha256.
 
     Offsets count code points from 0, ends are exclusive.  Null and empty texts have no
-    candidates; repeated rows give their candidates again; a null path counts as empty.
+    candidates; repeated rows give their candidates again; a null path counts as empty.  An empty table gives no rows.
     ``findings`` (value, before, after, path, label) trains the forest.
     """
     forest = train_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
@@ -179,16 +208,15 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
 def redact_secrets(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "text", path_col: str | None = None, length_col: str | None = None) -> DataFrame:
     """``docs`` with each confirmed secret in the text replaced; texts without one (and nulls) are unchanged.
 
+    Each repeated row is treated by itself, so equal rows stay equal; an empty table gives no rows.
+
     ``length_col``, if given, gets the new length of the texts that changed.
     """
     forest = train_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    rows = scored_candidates(docs, forest, text_col, path_col)
-    rows = rows.withColumn("__found", F.expr(f"filter(__found, c -> c.score > {THRESHOLD})"))
-    pieces = f"transform(__found, (c, i) -> concat(substring(__text, case when i = 0 then 1 else __found[i - 1].start + length(__found[i - 1].value) + 1 end, c.start - case when i = 0 then 0 else __found[i - 1].start + length(__found[i - 1].value) end), '{PLACEHOLDER}'))"
-    rest = "substring(__text, element_at(__found, -1).start + length(element_at(__found, -1).value) + 1)"
-    text = F.expr(f"case when size(__found) = 0 then `{text_col}` else concat(array_join({pieces}, ''), {rest}) end")
-    rows = rows.withColumn(text_col, text)
+    rows = scored_candidates(docs, forest, text_col, path_col).withColumn("__any", F.expr(f"exists(__found, c -> c.score > {THRESHOLD})"))
+    pieces = f"transform(__found, c -> concat(c.gap, case when c.score > {THRESHOLD} then concat(substring(c.match, 1, length(c.match) - length(c.value)), '{PLACEHOLDER}') else c.match end))"
+    rows = rows.withColumn(text_col, F.expr(f"case when __any then concat(array_join({pieces}, ''), __rest) else `{text_col}` end"))
     if length_col:
         kind = docs.schema[length_col].dataType
-        rows = rows.withColumn(length_col, F.when(F.size("__found") > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
+        rows = rows.withColumn(length_col, F.when(F.col("__any"), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
     return rows.select(*docs.columns)
