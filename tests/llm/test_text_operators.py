@@ -120,26 +120,45 @@ def test_words_and_ids_equal_the_library():
         assert "".join(words) == t and [i for x in c.encode_words(words) for i in x] == library_ids(t) == c.ids(t)
 
 
-def test_words_with_one_hash_are_told_apart(monkeypatch):
-    monkeypatch.setattr(bpe, "_hash", lambda word: 7)
-    c, words = bpe.coder(PATH), [" the", "the", " 😀", "x", "<|endoftext|>"]
-    ids = c.encode_words(words)
-    batch = bpe._pack(words, ids, c.pieces)
-    table = bpe.Lookup([[tuple(column[0].as_py() for column in batch.columns[1:])]], c.pieces)
-    assert table.find(words[::-1]) == [(",".join(map(str, i)), w.encode()) for w, i in zip(words, ids)][::-1]
-
-
-@pytest.mark.parametrize("table_bytes", [bpe.TABLE_BYTES, 0])
-def test_round_trip(spark, table_bytes):
-    d = docs(spark)
-    got = sorted((tuple(r) for r in bpe.round_trip(d, PATH, table_bytes=table_bytes).collect()), key=repr)
+def test_packed_words_and_ids():
+    for words in ([], ["", " the", "日本", "\n", "x" * 70_000]):
+        assert bpe.unpack_words(bpe.pack_words(words)) == words
+    counts, ids = bpe.unpack_ids(bpe.pack_ids(np.array([2, 0, 1]), np.array([7, 8, 50_256])))
+    assert counts.tolist() == [2, 0, 1] and ids.tolist() == [7, 8, 50_256]
+    assert bpe.gather(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+
+
+@pytest.mark.parametrize("slice_chars, bucket_chars", [(bpe.SLICE_CHARS, bpe.BUCKET_CHARS), (500, 100)])
+def test_round_trip(spark, slice_chars, bucket_chars):
+    rnd = random.Random(11)
+    more = ["".join(rnd.choice("ab'sreZé  \n\t ñ12½#_😀日本ßЖ\x1c") for _ in range(rnd.randint(0, 400))) for _ in range(60)] + ["long words " * 60_000]
+    d = docs(spark, extra=[(2000 + k, t, *[None] * 9) for k, t in enumerate(more)])
+    got = sorted((tuple(r) for r in bpe.round_trip(d, PATH, slice_chars=slice_chars, bucket_chars=bucket_chars).collect()), key=repr)
     wanted = []
     for r in d.collect():
         ids = library_ids(r.text)
         back = bpe.coder(PATH).tokenizer.decode(ids, skip_special_tokens=False)
         wanted.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
     assert got == sorted(wanted, key=repr)
-    assert bpe.round_trip(empty(spark), PATH, table_bytes=table_bytes).count() == 0
+    assert bpe.round_trip(empty(spark), PATH).count() == 0
+
+
+def test_each_distinct_word_is_encoded_once(spark):
+    d = docs(spark)
+    split = bpe.split_words(d.select("doc_id", "text"), PATH, 8, 2000)
+    rows = split.collect()
+    words = {}
+    for r in rows:
+        if r.kind == 1:
+            for w in bpe.unpack_words(r.packed):
+                assert words.setdefault(w, r.bucket) == r.bucket and (r.slice, w) not in words
+                words[r.slice, w] = r.bucket
+    assert {w for w in words if isinstance(w, str)} == {w for r in d.collect() for w in bpe.coder(PATH).words(r.text)}
+    coded = {(r.slice, r.bucket): bpe.unpack_ids(r.packed) for r in bpe.encode_buckets(split, PATH).collect()}
+    for r in rows:
+        if r.kind == 1:
+            counts, ids = coded[r.slice, r.bucket]
+            assert [x for x in np.split(ids.tolist(), np.cumsum(counts)[:-1])] and counts.sum() == len(ids) and len(counts) == len(bpe.unpack_words(r.packed))
 
 
 def test_decode(spark):

@@ -1,15 +1,17 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Spark splits texts into words (the pre-tokens of the tokenizer) and keeps each distinct word
-once; each is encoded once; the ids come back to every position.  Decoding is a look-up of pieces
-once per distinct word, not a join of each document's ids: a word whose pieces give its own bytes is
-marked so when it is encoded, and others are decoded from a list of the vocabulary's pieces.
-
-Scale: the distinct-word table is written in packed chunks and measured.  While it is within
-``TABLE_BYTES`` it is broadcast in packed form and positions are filled in where texts are read,
-so no text moves.  Beyond the bound, distinct texts' (word, positions) rows are joined with the
-table by word (adaptive execution splits frequent words, as the table side has one row a word)
-and gathered by text.  Both ways give the same rows.
+Texts are split into words (the pre-tokens of the tokenizer), slice by slice: a slice is some
+texts of one task with about ``SLICE_CHARS`` characters.  A slice writes each of its distinct words
+once, packed by hash bucket, and for every text the positions' places in that dictionary.  A bucket
+then holds all slices' words of its hash range; there each distinct word is encoded once, and the ids
+go back to the slices.  Joined by slice, every position gets its word's ids, and decoding joins each
+text's ids with the id-to-piece table, a whole slice at a time.
+
+Scale: no table of all words exists anywhere, on the driver or in a worker.  A word moves once a slice
+however often it occurs, so a frequent word is no hot key; buckets grow in number with the corpus
+(``BUCKET_CHARS``) and slices are of one size, so every group is bounded (a text longer than a slice is
+one).  The split is written once, and shuffles carry packed, compressed rows.  The id-to-piece table has
+the vocabulary's size.
 """
 
 from __future__ import annotations
@@ -19,22 +21,21 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterable
+import zlib
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import Tables, id_and_text, slices
+from veilwright.llm.common import Tables, id_and_text
 
-TABLE_BYTES = 256 << 20
-PART_BYTES = 16 << 20
-CHUNK_WORDS = 1 << 15
-CACHE_WORDS = 120_000
-STEP_ROWS = 256
+SLICE_CHARS = 4 << 20
+BUCKET_CHARS = 64 << 20
+BUCKETS = 64
+_PACK = pa.Codec("zstd", 1)
 
 #: Characters below this point have the same classes in every Unicode version at hand.
 _STABLE = 0x530
@@ -141,234 +142,191 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + _PACK.compress(data, asbytes=True)
 
 
-# --------------------------------------------------------------------------- the distinct-word table
+def _unpacked(data: bytes) -> memoryview:
+    return memoryview(_PACK.decompress(data[4:], int.from_bytes(data[:4], "little")))
 
-PACKED = "n long, hashes binary, word_lengths binary, words binary, decimal_lengths binary, decimals binary, same binary"
-_COLUMNS = tuple(x.split()[0] for x in PACKED.split(", "))
 
+def pack_words(words: list[str]) -> bytes:
+    """Words as one compressed block: their number, their lengths in bytes, their bytes."""
+    raw = [w.encode() for w in words]
+    return _packed(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw))
 
-def word_table(texts: DataFrame, path: str, tables: Tables) -> DataFrame:
-    """Every distinct word of ``texts.text`` once, with its ids, written as packed chunks."""
 
-    def split(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 1 << 22):
-                found: set[str] = set()
-                for t in texts[a:b]:
-                    found.update(coder(path).words(t))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["word"])
-
-    def encode(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, CHUNK_WORDS):
-                words = batch.column(0).slice(k, CHUNK_WORDS).to_pylist()
-                yield _pack(words, coder(path).encode_words(words), coder(path).pieces)
+def unpack_words(data: bytes) -> list[str]:
+    block = _unpacked(data)
+    n = int.from_bytes(block[:4], "little")
+    ends = np.cumsum(np.frombuffer(block[4 : 4 + 4 * n], "<u4"), dtype=np.int64)
+    rest = bytes(block[4 + 4 * n :])
+    return [rest[a:b].decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-    distinct = texts.select("text").mapInArrow(split, "word string").distinct()
-    return tables.write(distinct.mapInArrow(encode, PACKED))
 
+def pack_ids(counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """Ids of some words as one compressed block: the number of words, of ids for each, the ids."""
+    return _packed(np.array([len(counts)], "<u4").tobytes() + counts.astype("<u4").tobytes() + ids.astype("<u4").tobytes())
+
+
+def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    block = np.frombuffer(_unpacked(data), "<u4")
+    return block[1 : 1 + block[0]], block[1 + block[0] :]
+
+
+def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices of all runs (start, length) one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+# ------------------------------------------------------------------------- split, encode, join, decode
+
+#: Rows of the written split: kind 0 is a text (doc_id, its positions' places), kind 1 a bucket of a slice's distinct words.
+_SPLIT = ["kind", "slice", "bucket", "doc_id", "packed"]
 
-def _pack(words: list[str], ids: list[list[int]], pieces: list[bytes]) -> pa.RecordBatch:
-    """One chunk: each word's hash, bytes, ids in decimal, and whether its ids' pieces joined are the word again."""
-    raw = [w.encode() for w in words]
-    decimals = [",".join(map(str, i)).encode() for i in ids]
-    columns = [
-        np.array([_hash(w) for w in raw], np.uint64).tobytes(),
-        np.array([len(w) for w in raw], np.uint32).tobytes(),
-        b"".join(raw),
-        np.array([len(d) for d in decimals], np.uint32).tobytes(),
-        b"".join(decimals),
-        bytes(b"".join(map(pieces.__getitem__, i)) == w for i, w in zip(ids, raw)),
-    ]
-    return pa.RecordBatch.from_arrays([pa.array([len(words)], pa.int64())] + [pa.array([c], pa.binary()) for c in columns], list(_COLUMNS))
-
-
-class Lookup:
-    """The packed table in memory: a word's ids in decimal and decoded bytes, by hash and then by its bytes."""
-
-    def __init__(self, parts: Iterable[list[tuple[bytes, ...]]], pieces: list[bytes]):
-        columns = [bytearray() for _ in _COLUMNS[1:]]
-        for part in parts:  # a part is let go before the next is read
-            for chunk in part:
-                for column, piece in zip(columns, chunk):
-                    column += piece
-        h, wl, words, dl, decimals, same = columns
-        hashes = np.frombuffer(h, np.uint64)
-        order = np.argsort(hashes, kind="stable").astype(np.uint32)
-        self.hashes, self.pieces = hashes[order], pieces
-        # sums stay below TABLE_BYTES, so 32 bits hold them
-        self.word_length, self.decimal_length = (np.frombuffer(x, np.uint32) for x in (wl, dl))
-        self.word_end, self.decimal_end = (np.cumsum(x, dtype=np.uint32)[order] for x in (self.word_length, self.decimal_length))
-        self.word_length, self.decimal_length = self.word_length[order], self.decimal_length[order]
-        self.same = np.frombuffer(same, np.uint8)[order]
-        self.words, self.decimals = words, decimals
-
-    def _row(self, word: bytes, k: int) -> tuple[int, int, int]:
-        """The place of a word of which an earlier row has the same hash."""
-        while True:
-            end = int(self.word_end[k])
-            if self.words[end - int(self.word_length[k]) : end] == word:
-                end = int(self.decimal_end[k])
-                return end - int(self.decimal_length[k]), end, int(self.same[k])
-            k += 1
-
-    def find(self, words: list[str]) -> list[tuple[str, bytes]]:
-        """(ids in decimal, decoded bytes) of each word; every word is in the table."""
-        raw = [w.encode() for w in words]
-        at = np.searchsorted(self.hashes, np.array([_hash(w) for w in raw], np.uint64))
-        out = []
-        places = zip(raw, at.tolist(), *(x[at].tolist() for x in (self.word_length, self.word_end, self.decimal_length, self.decimal_end, self.same)))
-        for word, k, n, b, m, d, same in places:
-            c = d - m
-            if self.words[b - n : b] != word:
-                c, d, same = self._row(word, k)
-            decimal = self.decimals[c:d].decode()
-            out.append((decimal, word if same else b"".join(self.pieces[int(x)] for x in decimal.split(","))))
-        return out
 
+def split_words(rows: DataFrame, path: str, buckets: int, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """kind, slice, bucket, doc_id, packed: the texts' words slice by slice; places count a slice's words in bucket order."""
 
-class Filler:
-    """Fills in ids by position: a bounded cache of words in front of a source of their ids."""
+    def run(batches):
+        c = coder(path)
+        first = TaskContext.get().partitionId() << 32
+        number, size = 0, 0
+        seen: dict[str, int] = {}
+        held: list[tuple[pa.Scalar, np.ndarray]] = []
+
+        def close():
+            words = list(seen)
+            bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            texts = [_packed(place[x].tobytes()) for _, x in held]
+            ids = pa.array([i for i, _ in held], id_type)
+            n = len(held)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([first + number] * n, pa.int64()), pa.nulls(n, pa.int64()), ids, pa.array(texts, pa.binary())], _SPLIT)
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            parts = [p.tolist() for p in np.split(order, cuts)] if len(words) else []
+            n = len(parts)
+            packed = [pack_words([words[k] for k in p]) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([first + number] * n, pa.int64()), pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.nulls(n, id_type), pa.array(packed, pa.binary())], _SPLIT)
+
+        for batch in batches:
+            id_type = batch.column(0).type
+            for k in range(batch.num_rows):
+                text = batch.column(1)[k].as_py()
+                held.append((batch.column(0)[k].as_py(), np.array([seen.setdefault(w, len(seen)) for w in c.words(text)], np.uint32)))
+                size += len(text or "") + 1
+                if size >= slice_chars:
+                    yield from close()
+                    number, size, seen, held = number + 1, 0, {}, []
+        if held:
+            yield from close()
+
+    return rows.mapInArrow(run, f"kind int, slice long, bucket long, doc_id {rows.schema[0].dataType.simpleString()}, packed binary")
+
+
+def encode_buckets(split: DataFrame, path: str) -> DataFrame:
+    """slice, bucket, packed: the ids of each slice's words of a bucket; in a bucket every distinct word is encoded once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        c = coder(path)
+        known: dict[str, int] = {}
+        counts, ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        out = []
+        for data in table.column("packed").to_pylist():
+            words, before = unpack_words(data), len(known)
+            at = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+            if len(known) > before:
+                new = list(dict.fromkeys(w for w, k in zip(words, at.tolist()) if k >= before))
+                coded = c.encode_words(new)
+                counts = np.append(counts, [len(x) for x in coded])
+                ids = np.append(ids, np.fromiter((i for x in coded for i in x), np.uint32))
+            starts = np.cumsum(counts) - counts
+            out.append(pack_ids(counts[at], ids[gather(starts[at], counts[at])]))
+        return pa.Table.from_arrays([table.column("slice"), table.column("bucket"), pa.array(out, pa.binary())], ["slice", "bucket", "packed"])
 
-    def __init__(self, path: str, find):
-        self.coder, self.find = coder(path), find
-        self.decimal: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
+    words = split.where("kind = 1").select("slice", "bucket", "packed")
+    return words.groupBy("bucket").applyInArrow(run, "slice long, bucket long, packed binary")
 
-    def rows(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        split = [self.coder.words(t) for t in texts]
-        unknown = set().union(*split).difference(self.decimal)
-        if unknown:
-            if len(self.decimal) + len(unknown) > CACHE_WORDS:
-                self.decimal, self.decoded = {}, {}
-                unknown = set().union(*split)
-            new = list(unknown)
-            for word, (decimal, decoded) in zip(new, self.find(new)):
-                self.decimal[word], self.decoded[word] = decimal, decoded
-        return [_row(",".join(map(self.decimal.__getitem__, w)), b"".join(map(self.decoded.__getitem__, w))) for w in split]
 
+class Pieces:
+    """The id-to-piece table in columns: for each id its decoded bytes, and its decimal form with a comma."""
 
-def _values(parts: list):
-    """The broadcast parts one after another; none is kept, so that idle workers hold no table."""
-    for part in parts:
-        yield part.value
-        part.__dict__.pop("_value", None)
+    def __init__(self, pieces: list[bytes]):
+        self.pieces = pa.array(pieces, pa.binary())
+        self.decimals = pa.array([b"%d," % k for k in range(len(pieces))], pa.binary())
 
+    @staticmethod
+    def joined(column: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> list[memoryview]:
+        """The column's values of the ids, joined one after another, for each range between ``cuts``."""
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            found = column.take(pa.array(ids[a:b]))
+            offsets = np.frombuffer(found.buffers()[1], np.int32)
+            out.append(memoryview(found.buffers()[2] or b"")[int(offsets[0]) if b > a else 0 : int(offsets[b - a]) if b > a else 0])
+        return out
 
-def _row(decimal: str, decoded: bytes) -> tuple[int, str, str]:
-    text = decoded.decode("utf-8", "replace")
-    return decimal.count(",") + bool(decimal), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
+@lru_cache(maxsize=1)
+def _pieces(path: str) -> Pieces:
+    return Pieces(coder(path).pieces)
 
-_ROW = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+def assemble(split: DataFrame, coded: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: words' ids joined back by slice and position, pieces joined by id."""
+    kind = split.schema["doc_id"].dataType.simpleString()
 
-def _row_arrays(rows: list[tuple[int, str, str]]) -> list[pa.Array]:
-    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        table, out = _pieces(path), []
+        words = words.sort_by("bucket")
+        parts = [unpack_ids(x) for x in words.column("packed").to_pylist()]
+        counts = np.concatenate([np.zeros(0, np.uint32), *(c for c, _ in parts)]).astype(np.int64)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(i for _, i in parts)])
+        starts = np.cumsum(counts) - counts
+        for data in texts.column("packed").to_pylist():
+            at = np.frombuffer(_unpacked(data), "<u4")
+            own = ids[gather(starts[at], counts[at])]
+            cuts = np.array([0, len(own)])
+            (decimal,), (decoded,) = (table.joined(column, own, cuts) for column in (table.decimals, table.pieces))
+            text = bytes(decoded).decode("utf-8", "replace")
+            out.append((len(own), hashlib.sha256(decimal[:-1]).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+        return pa.Table.from_arrays([texts.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    texts = split.where("kind = 0").select("slice", "doc_id", "packed")
+    return texts.groupBy("slice").cogroup(coded.groupBy("slice")).applyInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = SLICE_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """One row per input row: doc_id, n_tokens, digests of the ids and of the decoded text.
 
     Null counts as empty: no tokens, digests of the empty string.  Repeated rows each give their
     row; a null id is carried.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark, "bpe")
+    tables = Tables(docs.sparkSession, "bpe")
     rows = id_and_text(docs, id_col, text_col)
-    packed = word_table(rows, path, tables)
-    size = packed.select(F.sum(sum(F.length(c) for c in _COLUMNS[1:]))).first()[0] or 0
-    kind = rows.schema[0].dataType.simpleString()
-    if size > table_bytes:
-        return _joined(rows, packed, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-    chunks = list(_broadcast(spark, packed.drop("n").toLocalIterator()))
-
-    def fill(batches):
-        filler = None
-        for batch in batches:
-            filler = filler or Filler(path, Lookup(_values(chunks), coder(path).pieces).find)
-            out = []
-            for k in range(0, batch.num_rows, STEP_ROWS):
-                texts = batch.column(1).slice(k, STEP_ROWS).to_pylist()
-                for a, b in slices(texts):
-                    out += filler.rows(texts[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_row_arrays(out)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return rows.mapInArrow(fill, f"doc_id {kind}, {_ROW}")
-
-
-def _broadcast(spark: SparkSession, rows):
-    """The packed chunks in broadcasts of about ``PART_BYTES``; the driver holds one part at a time."""
-    part, size = [], 0
-    for row in rows:
-        part.append(tuple(bytes(x) for x in row))
-        size += sum(map(len, part[-1]))
-        if size >= PART_BYTES:
-            yield spark.sparkContext.broadcast(part)
-            part, size = [], 0
-    if part:
-        yield spark.sparkContext.broadcast(part)
-
-
-def _joined(rows: DataFrame, packed: DataFrame, path: str) -> DataFrame:
-    """The same through a join by word and position, for a table of any size; equal texts share one row."""
-    keyed = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
-
-    def unpack(batches):
-        for batch in batches:
-            for _, _, wl, words, dl, decimals, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                wl, dl = np.frombuffer(wl, np.uint32), np.frombuffer(dl, np.uint32)
-                we, de = np.cumsum(wl, dtype=np.int64), np.cumsum(dl, dtype=np.int64)
-                ids = [np.array(decimals[e - n : e].split(b","), np.uint32).tobytes() for n, e in zip(dl.tolist(), de.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([words[e - n : e].decode() for n, e in zip(wl.tolist(), we.tolist())], pa.string()), pa.array(ids, pa.binary())], ["word", "ids"])
-
-    def occur(batches):
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                out: list[tuple[str, str, bytes]] = []
-                for key, text in zip(keys[a:b], texts[a:b]):
-                    places: dict[str, list[int]] = {}
-                    for k, w in enumerate(coder(path).words(text)):
-                        places.setdefault(w, []).append(k)
-                    out += [(key, w, np.array(p, np.uint32).tobytes()) for w, p in places.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.binary()))], ["key", "word", "places"])
-
-    def assemble(batches):
-        for batch in batches:
-            out = []
-            for found in batch.column(1).to_pylist():
-                at = np.concatenate([np.frombuffer(x["places"], np.uint32) for x in found])
-                ids = [x["ids"] for x in found for _ in range(len(x["places"]) // 4)]
-                flat = np.frombuffer(b"".join(ids[k] for k in np.argsort(at)), np.uint32).tolist()
-                out.append(_row(",".join(map(str, flat)), b"".join(map(coder(path).pieces.__getitem__, flat))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_row_arrays(out)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    words = packed.mapInArrow(unpack, "word string, ids binary").hint("merge")
-    places = keyed.select("key", "text").dropDuplicates(["key"]).mapInArrow(occur, "key string, word string, places binary")
-    found = places.join(words, "word").groupBy("key").agg(F.collect_list(F.struct("places", "ids")).alias("found"))
-    coded = found.mapInArrow(assemble, f"key string, {_ROW}")
-    none = F.sha2(F.lit("").cast("binary"), 256)
-    out = keyed.select("doc_id", "key").join(coded.hint("merge"), "key", "left")
-    return out.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.coalesce("ids_sha256", none).alias("ids_sha256"), F.coalesce("decoded_sha256", none).alias("decoded_sha256"))
+    chars = rows.select(F.sum(F.length("text"))).first()[0] or 0
+    split = tables.write(split_words(rows, path, max(BUCKETS, -(-chars // bucket_chars)), slice_chars))
+    return assemble(split, encode_buckets(split, path), path)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
     """doc_id and text of rows of token ids: positions joined with the id-to-piece table, pieces joined in order.
 
-    Null ids give a null text; an id outside the vocabulary gives an empty piece.
+    Null ids give a null text; null elements and ids outside the vocabulary give an empty piece.
     """
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        pieces = coder(path).pieces
+        table = _pieces(path)
+        n = len(table.pieces)
         for batch in batches:
-            texts = [None if x is None else b"".join(pieces[i] if 0 <= i < len(pieces) else b"" for i in x if i is not None).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            texts = []
+            for x in batch.column(1).to_pylist():
+                own = np.array([i for i in x or [] if i is not None and 0 <= i < n], np.int64)
+                texts.append(None if x is None else bytes(table.joined(table.pieces, own, np.array([0, len(own)]))[0]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<long>").alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
