@@ -120,11 +120,11 @@ def test_words_and_ids_equal_the_library():
         assert "".join(words) == t and [i for x in c.encode_words(words) for i in x] == library_ids(t) == c.ids(t)
 
 
-def test_packed_words_and_ids():
+def test_packed_words_and_numbers():
     for words in ([], ["", " the", "日本", "\n", "x" * 70_000]):
-        assert bpe.unpack_words(bpe.pack_words(words)) == words
-    counts, ids = bpe.unpack_ids(bpe.pack_ids(np.array([2, 0, 1]), np.array([7, 8, 50_256])))
-    assert counts.tolist() == [2, 0, 1] and ids.tolist() == [7, 8, 50_256]
+        assert bpe.unpack_words(*bpe.pack_words(words)) == words
+    for numbers in ([], [0, 7, 50_256, 2**32 - 1]):
+        assert bpe.unpack_numbers(bpe.pack_numbers(np.array(numbers, np.uint32))).tolist() == numbers
     assert bpe.gather(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
 
 
@@ -143,22 +143,15 @@ def test_round_trip(spark, slice_chars, bucket_chars):
     assert bpe.round_trip(empty(spark), PATH).count() == 0
 
 
-def test_each_distinct_word_is_encoded_once(spark):
+def test_each_distinct_word_is_encoded_in_one_bucket(spark):
     d = docs(spark)
     split = bpe.split_words(d.select("doc_id", "text"), PATH, 8, 2000)
-    rows = split.collect()
-    words = {}
-    for r in rows:
-        if r.kind == 1:
-            for w in bpe.unpack_words(r.packed):
-                assert words.setdefault(w, r.bucket) == r.bucket and (r.slice, w) not in words
-                words[r.slice, w] = r.bucket
-    assert {w for w in words if isinstance(w, str)} == {w for r in d.collect() for w in bpe.coder(PATH).words(r.text)}
-    coded = {(r.slice, r.bucket): bpe.unpack_ids(r.packed) for r in bpe.encode_buckets(split, PATH).collect()}
-    for r in rows:
-        if r.kind == 1:
-            counts, ids = coded[r.slice, r.bucket]
-            assert [x for x in np.split(ids.tolist(), np.cumsum(counts)[:-1])] and counts.sum() == len(ids) and len(counts) == len(bpe.unpack_words(r.packed))
+    home, seen = {}, set()
+    for r in split.where("kind = 1").collect():
+        for w in bpe.unpack_words(r.lengths, r.packed):
+            assert home.setdefault(w, r.bucket) == r.bucket and (r.slice, w) not in seen
+            seen.add((r.slice, w))
+    assert set(home) == {w for r in d.collect() for w in bpe.coder(PATH).words(r.text)}
 
 
 def test_decode(spark):

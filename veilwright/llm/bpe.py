@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from veilwright.llm.common import Tables, id_and_text
 
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 16 << 20
 BUCKET_CHARS = 64 << 20
 BUCKETS = 64
 _PACK = pa.Codec("zstd", 1)
@@ -150,28 +150,25 @@ def _unpacked(data: bytes) -> memoryview:
     return memoryview(_PACK.decompress(data[4:], int.from_bytes(data[:4], "little")))
 
 
-def pack_words(words: list[str]) -> bytes:
-    """Words as one compressed block: their number, their lengths in bytes, their bytes."""
-    raw = [w.encode() for w in words]
-    return _packed(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw))
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as one compressed block, byte by byte: all lowest bytes first."""
+    return _packed(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def unpack_words(data: bytes) -> list[str]:
-    block = _unpacked(data)
-    n = int.from_bytes(block[:4], "little")
-    ends = np.cumsum(np.frombuffer(block[4 : 4 + 4 * n], "<u4"), dtype=np.int64)
-    rest = bytes(block[4 + 4 * n :])
-    return [rest[a:b].decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpacked(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def pack_ids(counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """Ids of some words as one compressed block: the number of words, of ids for each, the ids."""
-    return _packed(np.array([len(counts)], "<u4").tobytes() + counts.astype("<u4").tobytes() + ids.astype("<u4").tobytes())
+def pack_words(words: list[str]) -> tuple[bytes, bytes]:
+    """The words' lengths in bytes and their bytes, as two compressed blocks."""
+    raw = [w.encode() for w in words]
+    return pack_numbers(np.array([len(w) for w in raw], np.uint32)), _packed(b"".join(raw))
 
 
-def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    block = np.frombuffer(_unpacked(data), "<u4")
-    return block[1 : 1 + block[0]], block[1 + block[0] :]
+def unpack_words(lengths: bytes, data: bytes) -> list[str]:
+    ends = np.cumsum(unpack_numbers(lengths), dtype=np.int64).tolist()
+    raw = bytes(_unpacked(data))
+    return [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -182,73 +179,78 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------------- split, encode, join, decode
 
-#: Rows of the written split: kind 0 is a text (doc_id, its positions' places), kind 1 a bucket of a slice's distinct words.
-_SPLIT = ["kind", "slice", "bucket", "doc_id", "packed"]
+#: Columns of the written split.  Kind 0 is a slice: its texts' ids and numbers of words, the places of all their
+#: words in the slice's dictionary (common words first), and the bucket of each dictionary word.  Kind 1 is a bucket
+#: of a slice's dictionary: its words' lengths and bytes, in the dictionary's order.
+_SPLIT = ("kind", "slice", "bucket", "ids", "lengths", "packed", "buckets")
 
 
 def split_words(rows: DataFrame, path: str, buckets: int, slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """kind, slice, bucket, doc_id, packed: the texts' words slice by slice; places count a slice's words in bucket order."""
+    """The texts' words, slice by slice; see ``_SPLIT``."""
 
     def run(batches):
         c = coder(path)
         first = TaskContext.get().partitionId() << 32
         number, size = 0, 0
         seen: dict[str, int] = {}
-        held: list[tuple[pa.Scalar, np.ndarray]] = []
+        ids: list = []
+        held: list[np.ndarray] = []
 
         def close():
-            words = list(seen)
-            bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
-            order = np.argsort(bucket, kind="stable")
+            words, at = list(seen), np.concatenate(held)
+            times = np.bincount(at, minlength=len(words))
+            order = sorted(range(len(words)), key=lambda k: (-times[k], words[k]))
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
-            texts = [_packed(place[x].tobytes()) for _, x in held]
-            ids = pa.array([i for i, _ in held], id_type)
-            n = len(held)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([first + number] * n, pa.int64()), pa.nulls(n, pa.int64()), ids, pa.array(texts, pa.binary())], _SPLIT)
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            parts = [p.tolist() for p in np.split(order, cuts)] if len(words) else []
-            n = len(parts)
-            packed = [pack_words([words[k] for k in p]) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([first + number] * n, pa.int64()), pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.nulls(n, id_type), pa.array(packed, pa.binary())], _SPLIT)
+            words = [words[k] for k in order]
+            bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
+            lengths = np.array([len(x) for x in held], np.uint32)
+            rows = [(0, first + number, None, ids, pack_numbers(lengths), pack_numbers(place[at]), pack_numbers(bucket))]
+            by_bucket = np.argsort(bucket, kind="stable")
+            for part in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(words) else []:
+                own = part.tolist()
+                rows.append((1, first + number, int(bucket[own[0]]), None, *pack_words([words[k] for k in own]), None))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], _SPLIT)
 
         for batch in batches:
             id_type = batch.column(0).type
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py()
-                held.append((batch.column(0)[k].as_py(), np.array([seen.setdefault(w, len(seen)) for w in c.words(text)], np.uint32)))
+                ids.append(batch.column(0)[k].as_py())
+                held.append(np.array([seen.setdefault(w, len(seen)) for w in c.words(text)], np.uint32))
                 size += len(text or "") + 1
                 if size >= slice_chars:
-                    yield from close()
-                    number, size, seen, held = number + 1, 0, {}, []
+                    yield close()
+                    number, size, seen, ids, held = number + 1, 0, {}, [], []
         if held:
-            yield from close()
+            yield close()
 
-    return rows.mapInArrow(run, f"kind int, slice long, bucket long, doc_id {rows.schema[0].dataType.simpleString()}, packed binary")
+    kind = rows.schema[0].dataType.simpleString()
+    return rows.mapInArrow(run, f"kind int, slice long, bucket long, ids array<{kind}>, lengths binary, packed binary, buckets binary")
 
 
 def encode_buckets(split: DataFrame, path: str) -> DataFrame:
-    """slice, bucket, packed: the ids of each slice's words of a bucket; in a bucket every distinct word is encoded once."""
+    """slice, bucket, counts, ids: the ids of each slice's words of a bucket; in a bucket every distinct word is encoded once."""
 
     def run(table: pa.Table) -> pa.Table:
         c = coder(path)
         known: dict[str, int] = {}
         counts, ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
         out = []
-        for data in table.column("packed").to_pylist():
-            words, before = unpack_words(data), len(known)
+        for block in zip(table.column("lengths").to_pylist(), table.column("packed").to_pylist()):
+            words, before = unpack_words(*block), len(known)
             at = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
             if len(known) > before:
-                new = list(dict.fromkeys(w for w, k in zip(words, at.tolist()) if k >= before))
-                coded = c.encode_words(new)
+                coded = c.encode_words([w for w, k in zip(words, at.tolist()) if k >= before])
                 counts = np.append(counts, [len(x) for x in coded])
                 ids = np.append(ids, np.fromiter((i for x in coded for i in x), np.uint32))
             starts = np.cumsum(counts) - counts
-            out.append(pack_ids(counts[at], ids[gather(starts[at], counts[at])]))
-        return pa.Table.from_arrays([table.column("slice"), table.column("bucket"), pa.array(out, pa.binary())], ["slice", "bucket", "packed"])
+            out.append((pack_numbers(counts[at]), pack_numbers(ids[gather(starts[at], counts[at])])))
+        return pa.Table.from_arrays([table.column("slice"), table.column("bucket"), *(pa.array([r[k] for r in out], pa.binary()) for k in (0, 1))], ["slice", "bucket", "counts", "ids"])
 
-    words = split.where("kind = 1").select("slice", "bucket", "packed")
-    return words.groupBy("bucket").applyInArrow(run, "slice long, bucket long, packed binary")
+    words = split.where("kind = 1").select("slice", "bucket", "lengths", "packed")
+    return words.groupBy("bucket").applyInArrow(run, "slice long, bucket long, counts binary, ids binary")
 
 
 class Pieces:
@@ -259,14 +261,11 @@ class Pieces:
         self.decimals = pa.array([b"%d," % k for k in range(len(pieces))], pa.binary())
 
     @staticmethod
-    def joined(column: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> list[memoryview]:
-        """The column's values of the ids, joined one after another, for each range between ``cuts``."""
-        out = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            found = column.take(pa.array(ids[a:b]))
-            offsets = np.frombuffer(found.buffers()[1], np.int32)
-            out.append(memoryview(found.buffers()[2] or b"")[int(offsets[0]) if b > a else 0 : int(offsets[b - a]) if b > a else 0])
-        return out
+    def joined(column: pa.Array, ids: np.ndarray) -> memoryview:
+        """The column's values of the ids, one after another."""
+        found = column.take(pa.array(ids))
+        end = np.frombuffer(found.buffers()[1], np.int32)[len(ids)] if len(ids) else 0
+        return memoryview(found.buffers()[2] or b"")[: int(end)]
 
 
 @lru_cache(maxsize=1)
@@ -276,26 +275,32 @@ def _pieces(path: str) -> Pieces:
 
 def assemble(split: DataFrame, coded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: words' ids joined back by slice and position, pieces joined by id."""
-    kind = split.schema["doc_id"].dataType.simpleString()
+    kind = split.schema["ids"].dataType.elementType.simpleString()
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         table, out = _pieces(path), []
+        id_type = texts.schema.field("ids").type.value_type
+        names = []
         words = words.sort_by("bucket")
-        parts = [unpack_ids(x) for x in words.column("packed").to_pylist()]
-        counts = np.concatenate([np.zeros(0, np.uint32), *(c for c, _ in parts)]).astype(np.int64)
-        ids = np.concatenate([np.zeros(0, np.uint32), *(i for _, i in parts)])
-        starts = np.cumsum(counts) - counts
-        for data in texts.column("packed").to_pylist():
-            at = np.frombuffer(_unpacked(data), "<u4")
-            own = ids[gather(starts[at], counts[at])]
-            cuts = np.array([0, len(own)])
-            (decimal,), (decoded,) = (table.joined(column, own, cuts) for column in (table.decimals, table.pieces))
-            text = bytes(decoded).decode("utf-8", "replace")
-            out.append((len(own), hashlib.sha256(decimal[:-1]).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        by_bucket = [np.concatenate([np.zeros(0, np.uint32), *map(unpack_numbers, words.column(c).to_pylist())]) for c in ("counts", "ids")]
+        for row in texts.to_pylist():  # one slice
+            order = np.argsort(unpack_numbers(row["buckets"]), kind="stable")
+            counts, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            counts[order] = by_bucket[0]
+            starts[order] = np.cumsum(by_bucket[0], dtype=np.int64) - by_bucket[0]
+            places, begin = unpack_numbers(row["packed"]), 0
+            names += row["ids"]
+            for n in unpack_numbers(row["lengths"]).tolist():
+                at = places[begin : begin + n]
+                begin += n
+                own = by_bucket[1][gather(starts[at], counts[at])]
+                decimal, decoded = table.joined(table.decimals, own), table.joined(table.pieces, own)
+                text = bytes(decoded).decode("utf-8", "replace")
+                out.append((len(own), hashlib.sha256(decimal[:-1]).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
         columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-        return pa.Table.from_arrays([texts.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.Table.from_arrays([pa.array(names, id_type), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    texts = split.where("kind = 0").select("slice", "doc_id", "packed")
+    texts = split.where("kind = 0").select("slice", "ids", "lengths", "packed", "buckets")
     return texts.groupBy("slice").cogroup(coded.groupBy("slice")).applyInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -326,7 +331,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", id_col: str = "doc_
             texts = []
             for x in batch.column(1).to_pylist():
                 own = np.array([i for i in x or [] if i is not None and 0 <= i < n], np.int64)
-                texts.append(None if x is None else bytes(table.joined(table.pieces, own, np.array([0, len(own)]))[0]).decode("utf-8", "replace"))
+                texts.append(None if x is None else bytes(table.joined(table.pieces, own)).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<long>").alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
