@@ -10,7 +10,8 @@ text's ids with the id-to-piece table, a whole slice at a time.
 Scale: no table of all words exists anywhere, on the driver or in a worker.  A word moves once a slice
 however often it occurs, so a frequent word is no hot key; buckets grow in number with the corpus
 (``BUCKET_CHARS``) and slices are of one size, so every group is bounded (a text longer than a slice is
-one).  The split is written once, and shuffles carry packed, compressed rows.  The id-to-piece table has
+one).  The split is written once, bucketed by slice, so its positions are not shuffled; shuffles carry the
+words and their ids in packed, compressed rows.  The id-to-piece table has
 the vocabulary's size.
 """
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import Tables, id_and_text
+from veilwright.llm.common import Tables, id_and_text, write_bucketed
 
 SLICE_CHARS = 16 << 20
 BUCKET_CHARS = 64 << 20
@@ -313,7 +314,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     tables = Tables(docs.sparkSession, "bpe")
     rows = id_and_text(docs, id_col, text_col)
     chars = rows.select(F.sum(F.length("text"))).first()[0] or 0
-    split = tables.write(split_words(rows, path, max(BUCKETS, -(-chars // bucket_chars)), slice_chars))
+    words = split_words(rows, path, max(BUCKETS, -(-chars // bucket_chars)), slice_chars)
+    split = write_bucketed(tables, words, "slice", max(1, -(-2 * chars // slice_chars)))
     return assemble(split, encode_buckets(split, path), path)
 
 

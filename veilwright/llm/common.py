@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 from veilwright.session import importable
 from veilwright.stages import Tables
 
-__all__ = ["ALPHANUMERIC", "NOT_SPACE", "Tables", "Words", "documents", "id_and_text", "mix", "slices", "small_side"]
+__all__ = ["ALPHANUMERIC", "NOT_SPACE", "Tables", "Words", "documents", "id_and_text", "mix", "slices", "small_side", "write_bucketed"]
 
 #: A join side may be broadcast only while it has at most this many rows of at most this many bytes.
 BROADCAST_ROWS = 400_000
@@ -31,6 +35,20 @@ def small_side(df: DataFrame, rows: int, row_bytes: int = 16) -> DataFrame:
     return F.broadcast(df) if fits else df.hint("merge")
 
 
+def write_bucketed(tables: Tables, df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``df`` written below the shared folder in hash buckets of ``column``; joins and groups by it need not move these rows again."""
+    name = f"veilwright_{uuid.uuid4().hex}"
+    tables.n += 1
+    atexit.register(_forget, tables.spark, name)
+    df.write.format("parquet").bucketBy(buckets, column).option("path", f"{tables.root}/{tables.n}").saveAsTable(name)
+    return tables.spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 # --------------------------------------------------------------------- hashing of words in numpy
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
