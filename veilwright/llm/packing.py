@@ -1,18 +1,21 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
 Each document's ids (then the separator id) are cut into full windows, which need no
-neighbours, and a tail.  Tails are dealt by hash into shards of about ``SHARD`` rows; every
-shard indexes the whole documents of its tails and scores them for all terms of the seed's whole
-document, with document frequencies counted over all documents.  Windows are filled greedily: the
-longest unused tail is the seed, the highest scoring unused neighbours that fit follow, however
-low their rank, and the best one left is cut to fill the rest, its remainder staying in the index.
-So only the last window of a shard is padded.
-
-A seed sees the tails of its own shard only, not those of other shards (recall: README).
-
-Scale: one pass writes windows' checksums, tails and per-task term counts; terms are token ids,
-so counts have at most the vocabulary's size and are the only thing sent to the driver.  Only
-tails are shuffled, once, into shards of bounded size; nothing depends on a hot key.
+neighbours, and a tail.  The index is sharded by lexical content: documents are put in the order of a
+min-hash signature of their runs of three ids, so that documents that share text stand together, and
+each task cuts its range of that order into shards of ``SHARD`` rows.  A shard indexes the whole documents
+of its tails and scores them for all terms of the seed's whole document, with document frequencies
+counted over all documents.  Windows are filled greedily: the longest unused tail is the seed, the
+highest scoring unused neighbours that fit follow, however low their rank, and the best one left is
+cut to fill the rest, its remainder staying in the index.  So only the last window of a shard is padded.
+
+A seed is scored against its own shard, not against all others; how many of its best neighbours that
+keeps is measured (recall: README).
+
+Scale: one pass writes windows' checksums, tails, signatures and per-task term counts; terms are token
+ids, so counts have at most the vocabulary's size and are the only thing sent to the driver.  Rows are
+shuffled once, by ranges of the order.  Ranges end in a row number, so that any number of equal
+texts, or of repeated rows, is split evenly; a worker holds one shard at a time.
 """
 
 from __future__ import annotations
@@ -21,49 +24,72 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.llm.bpe import coder, vocabulary_size
-from veilwright.llm.common import Tables, id_and_text
+from veilwright.llm.common import Tables, id_and_text, mix
 
 WINDOW = 1024
 SEPARATOR = 0
 SHARD = 512
+BATCH = 256
 K1, B = 1.2, 0.75
+SIGNATURE = 4
+PARTITION_BYTES = 32 << 20
+_SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(SIGNATURE)]
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def signature(ids: np.ndarray) -> tuple[int, ...]:
+    """``SIGNATURE`` min-hashes of the runs of three ids (of the whole, if shorter), as signed longs."""
+    wide = ids.astype(np.uint64)
+    h = wide[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + wide[1:-1] * np.uint64(0x165667B19E3779F9) + wide[2:] if len(wide) > 2 else wide[:1] + np.uint64(len(wide) << 32)
+    return tuple(int(mix(h ^ seed).min().view(np.int64)) for seed in _SEEDS)
+
+
 def tokenized(docs: DataFrame, path: str, tables: Tables, window: int = WINDOW) -> DataFrame:
-    """Written rows: kind 0 for documents (full windows' checksums, tail ids, all terms and their counts if the tail is not all), kind 1 for a task's document frequencies."""
+    """Written rows: kind 0 for documents, kind 1 for a task's document frequencies (in ``tail``).
+
+    Documents: number (of the row, unique), s0 and so on (signature), full windows' checksums, tail ids,
+    all terms and their counts if the tail is not all.
+    """
     id_kind = docs.schema[0].dataType.simpleString()
-    names = ["kind", "doc_id", "doc_tokens", "crcs", "tail", "terms", "counts"]
+    signatures = [f"s{k}" for k in range(SIGNATURE)]
+    names = ["kind", "doc_id", "number", *signatures, "doc_tokens", "crcs", "tail", "terms", "counts"]
+    kinds = [pa.int32(), None, *[pa.int64()] * (SIGNATURE + 2), pa.list_(pa.int64()), *[pa.binary()] * 3]
 
     def run(batches):
         c = coder(path)
-        df, seen = np.zeros(len(c.pieces), np.uint32), False
+        df, number = np.zeros(len(c.pieces), np.uint32), TaskContext.get().partitionId() << 32
+        first, id_type = number, None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t or id_type) for k, t in enumerate(kinds)], names)
+
         for batch in batches:
-            seen = seen or batch.num_rows > 0
-            totals, crcs, tails, terms, counts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.array([*c.ids(text), SEPARATOR], np.uint32)
-                held, times = np.unique(ids, return_counts=True)
-                df[held] += 1
-                cut = len(ids) // window * window
-                totals.append(len(ids))
-                crcs.append([_crc(ids[k : k + window]) for k in range(0, cut, window)])
-                tails.append(ids[cut:].tobytes())
-                terms.append(held.tobytes() if cut else b"")
-                counts.append(times.astype(np.uint32).tobytes() if cut else b"")
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), batch.column(0), pa.array(totals, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, batch.column(0).type), pa.array([0], pa.int64()), pa.array([[]], pa.list_(pa.int64())), pa.array([df.tobytes()], pa.binary()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names)
-
-    return tables.write(docs.mapInArrow(run, f"kind int, doc_id {id_kind}, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary"))
+            id_type = batch.column(0).type
+            for begin in range(0, batch.num_rows, BATCH):
+                part, rows = batch.slice(begin, BATCH), []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = np.array([*c.ids(text), SEPARATOR], np.uint32)
+                    held, times = np.unique(ids, return_counts=True)
+                    df[held] += 1
+                    cut = len(ids) // window * window
+                    crcs = [_crc(ids[k : k + window]) for k in range(0, cut, window)]
+                    whole = (held.tobytes(), times.astype(np.uint32).tobytes()) if cut else (b"", b"")
+                    rows.append((0, doc, number, *signature(ids), len(ids), crcs, ids[cut:].tobytes(), *whole))
+                    number += 1
+                yield batch_of(rows)
+        if number > first:
+            yield batch_of([(1, None, first, *[0] * SIGNATURE, 0, [], df.tobytes(), b"", b"")])
+
+    longs = ", ".join(f"{x} long" for x in ("number", *signatures, "doc_tokens"))
+    return tables.write(docs.mapInArrow(run, f"kind int, doc_id {id_kind}, {longs}, crcs array<long>, tail binary, terms binary, counts binary"))
 
 
 def _frequencies(rows: DataFrame, n_terms: int) -> np.ndarray:
@@ -149,46 +175,71 @@ class Shard:
             yield out
 
 
+_PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def _filled(rows: list[dict], idf: np.ndarray, average: float, window: int, sequence: int) -> tuple[list[tuple], int]:
+    """Pieces (doc_id, then ``_PIECE``) of a shard's documents, and the next sequence's number."""
+    tails = [np.frombuffer(r["tail"], np.uint32) for r in rows]
+    whole = [tuple(np.frombuffer(r[c], np.uint32) for c in ("terms", "counts")) if r["terms"] else np.unique(t, return_counts=True) for r, t in zip(rows, tails)]
+    out = []
+    for r in rows:
+        for w, crc in enumerate(r["crcs"]):
+            out.append((r["doc_id"], w * window, window, crc, r["doc_tokens"], sequence, 0))
+            sequence += 1
+    for found in Shard(tails, idf, average, window, whole).windows():
+        offset = 0
+        for k, a, length in found:
+            total = rows[k]["doc_tokens"]
+            out.append((rows[k]["doc_id"], total - len(tails[k]) + a, length, _crc(tails[k][a : a + length]), total, sequence, offset))
+            offset += length
+        sequence += 1
+    return out, sequence
+
+
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """Pieces of the packed documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are one separator id.  Every input row is packed, repeated rows too.
-    Sequences hold at most ``window`` ids; one in each shard may be shorter.  Empty table, no rows.
+    Null and empty texts are one separator id.  Every input row is packed, repeated rows and rows without
+    an id too.  Sequences hold at most ``window`` ids; one in each shard may be shorter.  Equal scores go
+    by the order of the signatures.  Empty table, no rows.
     """
-    tables = Tables(docs.sparkSession, "packing")
+    spark = docs.sparkSession
+    tables = Tables(spark, "packing")
     rows = tokenized(id_and_text(docs, id_col, text_col), path, tables, window)
-    pieces = rows.where("kind = 0")
+    pieces = rows.where("kind = 0").drop("kind")
     n, total = pieces.agg(F.count(F.lit(1)), F.sum("doc_tokens")).first()
     n_terms = vocabulary_size(path)
     df = _frequencies(rows, n_terms)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).clip(min=0).astype(np.float32)
     average = (total or 0) / max(n, 1)
-    shards = max(1, -(-n // shard))
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared = spark.sparkContext.broadcast(idf)
     id_kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def fill(table: pa.Table) -> pa.Table:
-        number = table.column("shard")[0].as_py()
-        table = table.sort_by([("order", "ascending")])
-        ids = table.column("doc_id").to_pylist()
-        totals = table.column("doc_tokens").to_pylist()
-        tails = [np.frombuffer(t.as_py(), np.uint32) for t in table.column("tail")]
-        stored = [[np.frombuffer(x.as_py(), np.uint32) for x in table.column(c)] for c in ("terms", "counts")]
-        whole = [(t, c) if len(t) else np.unique(tail, return_counts=True) for t, c, tail in zip(*stored, tails)]
-        out, sequence = [], number << 32
-        for k, crcs in enumerate(table.column("crcs").to_pylist()):
-            for w, crc in enumerate(crcs):
-                out.append((ids[k], w * window, window, crc, totals[k], sequence, 0))
-                sequence += 1
-        for found in Shard(tails, shared.value, average, window, whole).windows():
-            offset = 0
-            for k, a, length in found:
-                out.append((ids[k], totals[k] - len(tails[k]) + a, length, _crc(tails[k][a : a + length]), totals[k], sequence, offset))
-                offset += length
-            sequence += 1
-        kinds = [table.schema.field("doc_id").type] + [pa.int64()] * 6
-        return pa.Table.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    def fill(batches):
+        held: list[pa.RecordBatch] = []
+        sequence, left = TaskContext.get().partitionId() << 32, 0
+
+        def shards(last: bool):
+            nonlocal held, left, sequence
+            table = pa.Table.from_batches(held)
+            cut = left if last else left // shard * shard
+            for begin in range(0, cut, shard):
+                out, sequence = _filled(table.slice(begin, min(shard, cut - begin)).to_pylist(), shared.value, average, window, sequence)
+                columns = [pa.array([x[k] for x in out], pa.int64() if k else table.schema.field("doc_id").type) for k in range(1 + len(_PIECE))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *_PIECE])
+            held = table.slice(cut).to_batches()
+            left -= cut
 
-    order = F.xxhash64("doc_id", "tail")
-    dealt = pieces.drop("kind").withColumn("order", order).withColumn("shard", F.pmod(order, F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(fill, f"doc_id {id_kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        for batch in batches:
+            held.append(batch)
+            left += batch.num_rows
+            if left >= shard:
+                yield from shards(False)
+        if left:
+            yield from shards(True)
+
+    least = min(spark.sparkContext.defaultParallelism, -(-n // shard))
+    order = [*(f"s{k}" for k in range(SIGNATURE)), "number"]
+    ranges = pieces.repartitionByRange(max(1, least, -(-4 * (total or 0) // PARTITION_BYTES)), *order).sortWithinPartitions(*order)
+    return ranges.mapInArrow(fill, f"doc_id {id_kind}, " + ", ".join(f"{c} long" for c in _PIECE))
