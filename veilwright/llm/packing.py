@@ -38,7 +38,6 @@ BATCH = 256
 K1, B = 1.2, 0.75
 SIGNATURE = 4
 PARTITION_BYTES = 32 << 20
-_SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(SIGNATURE)]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -46,10 +45,12 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def signature(ids: np.ndarray) -> tuple[int, ...]:
-    """``SIGNATURE`` min-hashes of the runs of three ids (of the whole, if shorter), as signed longs."""
+    """The ``SIGNATURE`` smallest hashes of the runs of three ids (of the whole, if shorter), ascending, as longs; filled up with the last."""
     wide = ids.astype(np.uint64)
-    h = wide[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + wide[1:-1] * np.uint64(0x165667B19E3779F9) + wide[2:] if len(wide) > 2 else wide[:1] + np.uint64(len(wide) << 32)
-    return tuple(int(mix(h ^ seed).min().view(np.int64)) for seed in _SEEDS)
+    runs = wide[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + wide[1:-1] * np.uint64(0x165667B19E3779F9) + wide[2:] if len(wide) > 2 else wide[:1] + np.uint64(len(wide) << 32)
+    h = mix(runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+    least = np.sort(np.partition(h, SIGNATURE - 1)[:SIGNATURE] if len(h) > SIGNATURE else h).tolist()
+    return tuple(least + least[-1:] * (SIGNATURE - len(least)))
 
 
 def tokenized(docs: DataFrame, path: str, tables: Tables, window: int = WINDOW) -> DataFrame:
