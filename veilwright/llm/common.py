@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veilwright.session import importable
 from veilwright.stages import Tables
 
-__all__ = ["ALPHANUMERIC", "NOT_SPACE", "Tables", "Words", "documents", "id_and_text", "mix", "slices", "small_side", "write_bucketed"]
+__all__ = ["ALPHANUMERIC", "NOT_SPACE", "Tables", "Words", "documents", "id_and_text", "mix", "parts", "slices", "small_side", "write_bucketed"]
 
 #: A join side may be broadcast only while it has at most this many rows of at most this many bytes.
 BROADCAST_ROWS = 400_000
@@ -99,6 +99,13 @@ class Words:
         return (self._sums[ends] - self._sums[self.starts]) * self._inverse[self.starts]
 
 
+def parts(batches, rows: int = 512):
+    """The Arrow batches in pieces of at most ``rows`` rows, so that few texts at a time become Python strings."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def slices(texts: list[str | None], most: int = 1 << 20):
     """Ranges of ``texts`` with about ``most`` characters each, so that working memory stays bounded."""
     begin = size = 0

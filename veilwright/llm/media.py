@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import id_and_text
+from veilwright.llm.common import id_and_text, parts
 
 UNIT = 192
 WIDTH = 64
@@ -183,7 +183,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = id_and_text(docs, id_col, text_col)
 
     def converted(batches):
-        for batch in batches:
+        for batch in parts(batches):
             out = [[] for _ in range(9)]
             for text in batch.column(1).to_pylist():
                 raw = len((text or "").encode("utf-8", "replace"))
@@ -209,7 +209,7 @@ def image_tiles(files: DataFrame, id_col: str = "path", content_col: str = "cont
     rows = files.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{content_col}`").alias("content"))
 
     def decoded(batches):
-        for batch in batches:
+        for batch in parts(batches):
             out = [[] for _ in range(6)]
             for data in batch.column(1).to_pylist():
                 try:

@@ -12,7 +12,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veilwright.llm.common import id_and_text
+from veilwright.llm.common import id_and_text, parts
 
 #: Base kinds in output order, then the kinds that the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -147,7 +147,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = id_and_text(docs, id_col, text_col)
 
     def searched(batches):
-        for batch in batches:
+        for batch in parts(batches):
             out = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
                 found = spans(text)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import NOT_SPACE, Tables, Words, id_and_text, mix, slices, small_side
+from veilwright.llm.common import NOT_SPACE, Tables, Words, id_and_text, mix, parts, slices, small_side
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
@@ -41,7 +41,7 @@ def bucket_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         counts = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             texts, target = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in slices(texts):
                 docs, buckets = ngrams(texts[a:b])
@@ -73,7 +73,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             counts, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for a, b in slices(texts):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import Tables, id_and_text, small_side
+from veilwright.llm.common import Tables, id_and_text, parts, small_side
 from veilwright.llm.components import connected_components
 
 WORDS = 4
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = id_and_text(docs, id_col, text_col)
 
     def hashed(batches):
-        for batch in batches:
+        for batch in parts(batches):
             fps = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import ALPHANUMERIC, Tables, Words, id_and_text, mix, slices, small_side
+from veilwright.llm.common import ALPHANUMERIC, Tables, Words, id_and_text, mix, parts, slices, small_side
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -82,7 +82,7 @@ def _frequencies(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame
     def run(batches):
         only = None if shared.value is None else np.unpackbits(shared.value).astype(bool)
         counts = np.zeros(1 << BITS, np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts, SLICE):
                 here, n = np.unique(features(texts[a:b], BITS, only)[1], return_counts=True)
@@ -107,7 +107,7 @@ def _hashed(rows: DataFrame, kept: np.ndarray) -> DataFrame:
     def run(batches):
         place = np.full(1 << BITS, -1, np.int64)
         place[shared.value] = np.arange(len(shared.value))
-        for batch in batches:
+        for batch in parts(batches):
             texts, packed = batch.column(0).to_pylist(), []
             for a, b in slices(texts, SLICE):
                 docs, buckets = features(texts[a:b], BITS, place >= 0)
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         weights = np.zeros(1 << bits, np.float32)
         weights[where] = values
         local = Model(weights, bias, bits)
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(local.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, score double")
@@ -273,7 +273,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         weights = np.zeros(1 << bits, np.float32)
         weights[where] = values
         local = Model(weights, bias, bits)
-        for batch in batches:
+        for batch in parts(batches):
             clean = local.scores(batch.column(at).to_pylist()) < THRESHOLD
             yield batch.filter(pa.array(clean))
 
