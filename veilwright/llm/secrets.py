@@ -192,7 +192,8 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
     """
     forest = train_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (F.col(f"`{path_col}`") if path_col else F.lit("")).alias("path"))
-    rows = scored_candidates(named, forest, "text", "path").select("doc_id", F.posexplode("__found").alias("ordinal", "f"))
+    # the outer form, as for the inner one Catalyst adds a filter in which all of this would run once more
+    rows = scored_candidates(named, forest, "text", "path").select("doc_id", F.posexplode_outer("__found").alias("ordinal", "f")).where("ordinal is not null")
     return rows.select(
         "doc_id",
         "ordinal",
