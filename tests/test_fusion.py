@@ -32,6 +32,11 @@ def test_structural_row_takes_in_what_it_contains(spark):
     assert [len(x.evidence) for x in got] == [2, 1] and got[0].text == "a@b.co" and got[0].element_id == "e1"
 
 
+def test_structural_row_needs_both_boxes(spark):
+    rows = [detection(0, "EMAIL", None, "DOM", bbox=box(0, 0, 200, 30), element_id="e1"), detection(1, "EMAIL", "a@b.co", bbox=None), detection(2, "EMAIL", None, "DOM", bbox=None, element_id="e2"), detection(3, "EMAIL", "c@d.co", bbox=box(10, 5, 40, 10))]
+    assert [len(x.evidence) for x in fuse(spark, rows)] == [2, 1, 1]
+
+
 def test_fuzzy_chain_stops_at_inconsistent_sets(spark):
     texts = ["abcdefghij", "abcdefghiX", "abcdefgYYX"]  # 0 ~ 1; 1 and 2 differ by two of ten
     at = [box(10 * k, 0, 60, 10) for k in range(3)]
@@ -61,6 +66,10 @@ def model_roots(rows):
     def sim(a, b):
         return 1 - fusion.edit_distance(a, b) / max(len(a), len(b)) if a and b else float(a == b)
 
+    def dice(a, b):
+        x, y = a.split(), b.split()
+        return 2 * sum(t in y for t in x) / (len(x) + len(y)) if len(x) > 1 and len(y) > 1 else 0
+
     fuzzy = []
     for i in range(n):
         for j in range(i + 1, n):
@@ -73,7 +82,7 @@ def model_roots(rows):
                 if hit:
                     old, new = group[j], group[i]
                     group = [new if g == old else g for g in group]
-            elif sim(a, b) >= 0.85 and p and q and (iou(p, q) > 0.2 or dist(p, q) < 80):
+            elif (sim(a, b) >= 0.85 or dice(a, b) >= 0.8) and p and q and (iou(p, q) > 0.2 or dist(p, q) < 80):
                 fuzzy.append((i, j))
     for i, j in fuzzy:
         if group[i] != group[j]:

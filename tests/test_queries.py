@@ -14,12 +14,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, con, name):
-    assert rows_of(QUERIES[name](spark, SF)) == sql_rows(con, ORACLES[name])
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    got, wanted = rows_of(QUERIES[name](spark, SF)), sql_rows(con, ORACLES[name])
+    assert got == wanted and wanted[1]
 
 
 def test_entry(spark):

@@ -13,7 +13,7 @@ def box(x: Column, y: Column, width: Column, height: Column) -> Column:
 
 
 def overlap_lengths(a: Column, b: Column) -> tuple[Column, Column]:
-    """Signed overlap on both axes; negative is a gap."""
+    """Signed overlap on both axes; negative is a gap.  Both boxes must be there: ``least`` and ``greatest`` skip nulls."""
     return tuple(F.least(a[p] + a[s], b[p] + b[s]) - F.greatest(a[p], b[p]) for p, s in (("x", "width"), ("y", "height")))
 
 
@@ -37,15 +37,15 @@ def centre_distance(a: Column, b: Column) -> Column:
 
 
 def contained(a: Column, b: Column, share: float = 0.5) -> Column:
-    """Whether the overlap is more than ``share`` of the smaller box."""
+    """Whether the overlap is more than ``share`` of the smaller box; false where one is missing."""
     least = F.least(a["width"] * a["height"], b["width"] * b["height"])
-    return F.coalesce((least > 0) & (overlap_area(a, b) > share * least), F.lit(False))
+    return F.coalesce(a.isNotNull() & b.isNotNull() & (least > 0) & (overlap_area(a, b) > share * least), F.lit(False))
 
 
 def boxes_touch(a: Column, b: Column, tolerance: float = 8) -> Column:
     """Whether boxes intersect or come within ``tolerance`` on both axes; false where one is missing."""
     w, h = overlap_lengths(a, b)
-    return F.coalesce((w >= -tolerance) & (h >= -tolerance), F.lit(False))
+    return F.coalesce(a.isNotNull() & b.isNotNull() & (w >= -tolerance) & (h >= -tolerance), F.lit(False))
 
 
 def union_sql(boxes: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilwright.config import ADDRESS_TYPES, DEFAULT_THRESHOLD, NAME_TYPES, STRUCTURED_TYPES, THRESHOLDS
 from veilwright.functions.geometry import centre_distance, normalize_box, scale
 from veilwright.functions.text import region_of, rescale_confidence, trim
-from veilwright.operators.graph import breadth_first, per_observation, smallest_members
+from veilwright.operators.graph import breadth_first, per_observation
 from veilwright.schemas import DETECTION_COLUMNS
 
 NEAR, NEAR_ROW, NEAR_COLUMN, NEAR_STEPS = 180.0, 50.0, 250.0, 2
@@ -82,10 +82,8 @@ def valid_cluster(types: Column) -> Column:
 
 def address_clusters(addresses: DataFrame) -> DataFrame:
     """Address parts with ``cluster`` (its first det_ord), ``visit`` (rank in it) and ``valid``."""
-    links = address_links(addresses)
-    roots = per_observation(links, smallest_members).withColumnRenamed("value", "root")
-    visits = per_observation(links, breadth_first).withColumnRenamed("value", "visit")
-    placed = addresses.join(roots, ["observation_id", "det_ord"], "left").join(visits, ["observation_id", "det_ord"], "left")
+    visits = per_observation(address_links(addresses), breadth_first, ("root", "visit"))
+    placed = addresses.join(visits, ["observation_id", "det_ord"], "left")
     placed = placed.withColumn("cluster", F.coalesce("root", "det_ord")).withColumn("visit", F.coalesce("visit", F.lit(0))).drop("root")
     w = Window.partitionBy("observation_id", "cluster")
     return placed.withColumn("valid", (F.count(F.lit(1)).over(w) >= 2) & valid_cluster(F.collect_set("type").over(w)))

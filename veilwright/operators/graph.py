@@ -32,44 +32,35 @@ class Forest:
         return True
 
 
-def per_observation(links: DataFrame, call: Callable[[list[dict]], list[tuple[int, int]]]) -> DataFrame:
-    """(observation_id, det_ord, value) from ``call`` on the list of each observation's link rows, ordered by (i, j)."""
+def per_observation(links: DataFrame, call: Callable[[list[dict]], list[tuple[int, ...]]], values: tuple[str, ...] = ("value",)) -> DataFrame:
+    """(observation_id, det_ord, values) from ``call`` on the list of each observation's link rows, ordered by (i, j)."""
     columns = ["i", "j"] + [c for c in links.columns if c not in ("observation_id", "i", "j")]
     packed = links.groupBy("observation_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("links"))
 
     def run(batches):
         for batch in batches:
-            rows = [(o, k, v) for o, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, v in call(found)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["observation_id", "det_ord", "value"])
+            rows = [(o, *found) for o, links in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for found in call(links)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k else pa.string()) for k in range(2 + len(values))], ["observation_id", "det_ord", *values])
 
-    return packed.mapInArrow(run, "observation_id string, det_ord int, value int")
+    return packed.mapInArrow(run, "observation_id string, det_ord int, " + ", ".join(f"{v} int" for v in values))
 
 
-def smallest_members(links: list[dict]) -> list[tuple[int, int]]:
-    """(node, smallest node of its component)."""
-    sets = Forest()
-    for link in links:
-        sets.join(link["i"], link["j"])
-    return [(x, sets.root(x)) for x in list(sets.above)]
-
-
-def breadth_first(links: list[dict]) -> list[tuple[int, int]]:
-    """(node, rank) in the order of breadth-first visits that start at each component's smallest node."""
+def breadth_first(links: list[dict]) -> list[tuple[int, int, int]]:
+    """(node, smallest node of its component, rank) in the order of breadth-first visits from each component's smallest node."""
     near: dict[int, set[int]] = {}
     for link in links:
         near.setdefault(link["i"], set()).add(link["j"])
         near.setdefault(link["j"], set()).add(link["i"])
-    order: dict[int, int] = {}
+    seen: set[int] = set()
+    out = []
     for start in sorted(near):
-        if start in order:
+        if start in seen:
             continue
-        order[start] = 0
+        seen.add(start)
         queue = [start]
         for x in queue:
-            fresh = sorted(y for y in near[x] if y not in order)
-            for y in fresh:
-                order[y] = 0
+            fresh = sorted(near[x] - seen)
+            seen.update(fresh)
             queue += fresh
-        for rank, x in enumerate(queue):
-            order[x] = rank
-    return list(order.items())
+        out += [(x, start, rank) for rank, x in enumerate(queue)]
+    return out

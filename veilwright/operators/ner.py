@@ -22,7 +22,7 @@ from veilwright.operators.grounding import ground, overlapping_confidence_sql
 from veilwright.schemas import TOKENS, WORD
 
 _SPANS = ArrayType(StructType().add("type", StringType()).add("text", StringType()).add("confidence", DoubleType()).add("reason", StringType()).add("start", IntegerType()).add("end", IntegerType()))
-_MARKS = re.compile("[̀-ͯ]")
+_MARKS = re.compile("[\u0300-\u036f]")
 _PUNCTUATION = re.compile(PUNCTUATION)
 
 
@@ -31,6 +31,12 @@ def fold(text: str) -> str:
     return _MARKS.sub("", unicodedata.normalize("NFD", text.lower()))
 
 
+@F.arrow_udf(StringType())
+def folded(texts: pa.Array) -> pa.Array:
+    """``fold`` over a column; null stays null."""
+    return pa.array([None if t is None else fold(t) for t in texts.to_pylist()], pa.string())
+
+
 # ------------------------------------------------------------------------------------- native part
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.config import DEFAULT, OTHER_PLACEHOLDER, PLACEHOLDERS, SPECIFIC_PLACEHOLDERS, WEAK_PLACEHOLDERS, EngineConfig
+from veilwright.functions.text import trim
 from veilwright.operators.ner import fold
 
 # ------------------------------------------------------------------------------------ native spans
@@ -81,6 +82,15 @@ class Span:
     target: str = ""
 
 
+#: How a span was found, for a text that occurs once and for one that occurs more often.
+PROVENANCE = {
+    "rampart_dom_region": ("rampart_dom_region_unique", "rampart_dom_region_all_occurrences"),
+    "dom_text_regex": ("dom_text_regex_unique", "dom_text_regex_all_occurrences"),
+    "dom_text": ("dom_text_unique_fallback", "dom_text_all_occurrences_fallback"),
+    "ocr_spatial_grounded": ("ocr_spatial_grounded_unique", "ocr_spatial_grounded_all_occurrences"),
+}
+
+
 def placeholder_of(kind: str | None) -> str:
     return PLACEHOLDERS.get((kind or "").upper(), OTHER_PLACEHOLDER)
 
@@ -150,13 +160,13 @@ class Mapper:
             return self._by_place()
         if any(x["context_source"] == "DOM" or x["source"] == "DOM_TEXT" for x in [e, *self.evidence]):
             for text in dict.fromkeys([self.target, *((x["text"] or "").strip() for x in self.evidence)]):
-                if hits := self._named(text, "dom_text", "_fallback"):
+                if hits := self._named(text, "dom_text"):
                     return hits
         return []
 
-    def _named(self, text: str, label: str, suffix: str = "") -> list[tuple[int, int, str]]:
+    def _named(self, text: str, label: str) -> list[tuple[int, int, str]]:
         found = occurrences(self.text, text)
-        name = f"{label}_{'unique' if len(found) == 1 else 'all_occurrences'}{suffix}"
+        name = PROVENANCE[label][0 if len(found) == 1 else 1]
         return [(a, b, name) for a, b in found]
 
     def _by_evidence(self, e: dict, exact: str, located: str) -> list[tuple[int, int, str]]:
@@ -221,6 +231,25 @@ def redact_text(text: str | None, entities: list[dict], config: EngineConfig = D
     return rebuild(text, islands), len(islands)
 
 
+def occurrence_counts(rows: DataFrame, key: str, text: str, target: str) -> DataFrame:
+    """key and ``n``, how often the target occurs in the text, ignoring case or accents if need be; null counts as empty."""
+    kept = rows.select(key, text, target)
+
+    def run(batches):
+        for batch in batches:
+            found = [len(occurrences(t or "", w or "")) for t, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], [key, "n"])
+
+    return kept.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, n long")
+
+
+def joined_texts(rows: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
+    """key, the trimmed non-blank texts in order joined by line ends (null if there is none), and ``n``, how many rows there were."""
+    packed = rows.withColumn("__t", trim(F.col(text))).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__t").alias("t")))).alias("__x"), F.count(F.lit(1)).alias("n"))
+    lines = F.filter(F.transform("__x", lambda x: x["t"]), lambda t: t != "")
+    return packed.select(key, F.nullif(F.array_join(lines, "\n"), F.lit("")).alias("text"), "n")
+
+
 # --------------------------------------------------------------------------------- whole observations
 
 SUMMARY = "struct<required:int,mapped:int,applied:int,covered:int,unresolved:int,verification_failures:int>"

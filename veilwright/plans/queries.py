@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwright.functions import geometry, text, url
@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 DERIVED = {
     "elements": (
         "customer",
-        """SELECT CAST(c_custkey % 97 AS VARCHAR(9)) AS observation_id, CAST(c_custkey AS INT) AS ord, concat('e', CAST(c_custkey AS VARCHAR(9))) AS element_id,
+        """SELECT CAST(CAST(floor(c_custkey / 20) AS INT) AS VARCHAR(9)) AS observation_id, CAST(c_custkey AS INT) AS ord, concat('e', CAST(c_custkey AS VARCHAR(9))) AS element_id,
   CASE c_custkey % 4 WHEN 0 THEN 'INPUT' WHEN 1 THEN 'input' WHEN 2 THEN 'a' ELSE 'button' END AS tag,
   CASE c_custkey % 7 WHEN 0 THEN 'password' WHEN 1 THEN 'email' WHEN 2 THEN 'Tel' WHEN 3 THEN 'text' WHEN 4 THEN 'checkbox' WHEN 5 THEN 'submit' END AS type,
   CASE c_custkey % 5 WHEN 0 THEN 'user_password' WHEN 1 THEN 'pin' WHEN 2 THEN 'card-number' WHEN 3 THEN c_name END AS name,
@@ -52,13 +52,13 @@ FROM {customer}""",
     ),
     "boxes": (
         "part",
-        """SELECT CAST(p_partkey AS INT) AS k, CAST(p_partkey % 53 AS INT) AS obs, CAST((p_partkey * 37) % 900 AS DOUBLE) AS x, CAST((p_partkey * 91) % 600 AS DOUBLE) AS y,
+        """SELECT CAST(p_partkey AS INT) AS k, CAST(floor(p_partkey / 40) AS INT) AS obs, CAST((p_partkey * 37) % 900 AS DOUBLE) AS x, CAST((p_partkey * 91) % 600 AS DOUBLE) AS y,
   CAST(10 + p_size * 3 AS DOUBLE) AS w, CAST(8 + p_size % 11 AS DOUBLE) AS h
 FROM {part}""",
     ),
     "words": (
         "lineitem",
-        """SELECT CAST(l_orderkey % 211 AS INT) AS obs, CAST(l_orderkey * 10 + n AS INT) AS ord,
+        """SELECT CAST(floor(l_orderkey / 40) AS INT) AS obs, CAST(l_orderkey * 10 + n AS INT) AS ord,
   CASE n % 5 WHEN 0 THEN '  ' WHEN 1 THEN concat('w', CAST(l_partkey AS VARCHAR(9))) WHEN 2 THEN ' padded ' ELSE l_returnflag END AS text,
   CASE n % 3 WHEN 0 THEN l_quantity * 2 WHEN 1 THEN l_discount * 8 END AS confidence,
   l_quantity * 10.25e0 AS x0, n * 20.5e0 AS y0, l_quantity * 10.25e0 + l_tax * 400 AS x1, n * 20.5e0 + 16 AS y1
@@ -127,18 +127,26 @@ _DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')"
 _LUHN = "(list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({0}), i, 1) AS INT) ELSE (CAST(substr(reverse({0}), i, 1) AS INT) * 2) // 10 + (CAST(substr(reverse({0}), i, 1) AS INT) * 2) % 10 END)) % 10 = 0)"
 
 
-def _found(kind: str, pattern: str, rank: int) -> str:
-    """SQL rows (doc_id, kind_rank, ordinal, type, text, start) of the matches of a pattern in documents."""
+def _found(kind: str, pattern: str, rank: int, source: str = "documents") -> str:
+    """SQL rows (doc_id, kind_rank, ordinal, type, text, start) of the matches of a pattern in the texts of a table."""
     return f"""SELECT doc_id, {rank} AS kind_rank, k AS ordinal, '{kind}' AS type, m[k + 1] AS text,
   CAST(list_sum(list_transform(g[1:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k], lambda x: length(x))), 0) AS INT) AS start
-FROM (SELECT doc_id, m, g, unnest(range(len(m))) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM documents))"""
+FROM (SELECT doc_id, m, g, unnest(range(len(m))) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM {source}))"""
 
 
-_HITS = f"""hits AS (
+_NORM = "CASE type WHEN 'EMAIL' THEN lower(text) ELSE regexp_replace(text, CASE type WHEN 'PHONE' THEN '[^0-9]' ELSE '[\\s_-]' END, '', 'g') END"
+
+
+def _hits(source: str = "documents") -> str:
+    digits = _DIGITS.format("text")
+    return f"""hits AS (
   SELECT *, start + length(text) AS "end" FROM (
-    {_found("EMAIL", _EMAIL, 0)} UNION ALL
-    SELECT * FROM ({_found("PHONE", _PHONE, 1)}) WHERE length({_DIGITS.format("text")}) = 10 OR (length({_DIGITS.format("text")}) = 12 AND {_DIGITS.format("text")} LIKE '91%') UNION ALL
-    SELECT doc_id, kind_rank, ordinal, type, rtrim(text, ' ') AS text, start FROM ({_found("CARD", _CARD, 2)}) WHERE length({_DIGITS.format("text")}) BETWEEN 13 AND 19 AND {_LUHN.format(_DIGITS.format("text"))}))"""
+    {_found("EMAIL", _EMAIL, 0, source)} UNION ALL
+    SELECT * FROM ({_found("PHONE", _PHONE, 1, source)}) WHERE length({digits}) = 10 OR (length({digits}) = 12 AND {digits} LIKE '91%') UNION ALL
+    SELECT doc_id, kind_rank, ordinal, type, rtrim(text, ' ') AS text, start FROM ({_found("CARD", _CARD, 2, source)}) WHERE length({digits}) BETWEEN 13 AND 19 AND {_LUHN.format(digits)}))"""
+
+
+_HITS = _hits()
 
 
 def document_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,9 +233,11 @@ def element_attributes(spark, sf_dir):
     return e.select("element_id", pages.implicit_role(c("tag"), c("type")).alias("role"), pages.default_type(c("tag"), c("type")).alias("type"), pages.editable(c("tag"), c("type"), F.lit(False)).alias("editable"), pages.accessible_name(c("placeholder"), c("name")).alias("accessible_name"))
 
 
-@query("SELECT doc_id, 'PASSWORD' AS kind FROM documents WHERE regexp_matches(lower(text), '\\b(?:password|passcode|secret|pin)\\b') UNION ALL SELECT doc_id, 'CARD' FROM documents WHERE NOT regexp_matches(lower(text), '\\b(?:password|passcode|secret|pin)\\b') AND regexp_matches(lower(text), '\\b(?:card[-_]?number|credit[-_]?card|cc[-_]?num|cardnum)\\b')")
+@query(f"""WITH {cte("elements")}, m AS (SELECT element_id, {_META} AS t FROM elements) SELECT element_id, CASE WHEN regexp_matches(t, '\\b(?:password|passcode|secret|pin)\\b') THEN 'PASSWORD' ELSE 'CARD' END AS kind
+FROM m WHERE regexp_matches(t, '\\b(?:password|passcode|secret|pin|card[-_]?number|credit[-_]?card|cc[-_]?num|cardnum)\\b')""")
 def keyword_rules(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", detect.keyword_kind(F.col("text")).alias("kind")).where("kind is not null")
+    said = F.concat_ws(" ", "name", "placeholder", "accessible_name")
+    return derived(spark, sf_dir, "elements").select("element_id", detect.keyword_kind(said).alias("kind")).where("kind is not null")
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^(https?://[^/]+)$', '\\1/') AS safe_url FROM pages")
@@ -270,7 +280,7 @@ def box_pairs(spark, sf_dir):
 @query(f"WITH {cte('boxes')} SELECT obs, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS width, max(y + h) - min(y) AS height FROM boxes GROUP BY obs")
 def box_unions(spark, sf_dir):
     b = derived(spark, sf_dir, "boxes").withColumn("b", geometry.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
-    return b.groupBy("obs").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom")).select("obs", "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("bottom") - F.col("y")).alias("height"))
+    return b.groupBy("obs").agg(F.collect_list("b").alias("bs")).select("obs", F.expr(geometry.union_sql("bs")).alias("u")).select("obs", "u.*")
 
 
 @query(f"""WITH {cte("boxes")} SELECT k, round(CASE WHEN k % 3 = 0 THEN x / 2 WHEN k % 3 = 1 AND k % 5 > 0 THEN x / 1.5 ELSE x END, 6) AS x,
@@ -352,27 +362,35 @@ def address_clusters(spark, sf_dir):
     return context.address_clusters(tables.write(d)).select("observation_id", "det_ord", "cluster", "valid")
 
 
-@query()
+_CLUSTERED = ORACLES["address_clusters"].split("roots AS", 1)
+
+
+@query(f"""{_CLUSTERED[0]}roots AS (SELECT observation_id, i AS det_ord, min(j) AS cluster FROM reach GROUP BY observation_id, i),
+valid AS ({"WITH sets AS" + _CLUSTERED[1].split("sets AS", 1)[1]}), named AS (SELECT * FROM ({ORACLES["name_corroboration"]}))
+SELECT observation_id, type, source, text, confidence, reason, x, band FROM (
+  SELECT *, 0 AS band FROM routed WHERE route = 'pass' UNION ALL
+  SELECT routed.*, 1 FROM routed JOIN named USING (observation_id, det_ord) WHERE route = 'name' UNION ALL
+  SELECT routed.*, 2 FROM routed JOIN valid USING (observation_id, det_ord) WHERE route = 'address' AND valid)""")
 def context_filtered(spark, sf_dir):
     tables = Tables(spark, "context")
     d = tables.write(tagged_rows(spark, sf_dir))
     o = d.select("observation_id").distinct().selectExpr("observation_id", "cast(null as struct<width:double,height:double,scroll_x:double,scroll_y:double,dpr:double>) as viewport", "cast(null as struct<width:int,height:int>) as canvas", "cast(null as double) as dpr")
-    return context.context_filter(d, o).select("observation_id", "det_ord", "type", "source", "text", "confidence")
+    band = F.when(context.route(F.col("type"), F.col("source"), F.col("confidence")) == "name", 1).when(context.route(F.col("type"), F.col("source"), F.col("confidence")) == "address", 2).otherwise(0)
+    return context.context_filter(d, o).select("observation_id", "type", "source", "text", "confidence", "reason", F.col("bbox.x").alias("x"), band.alias("band"))
 
 
 def document_detections(spark, sf_dir) -> DataFrame:
-    """Detections of documents as if each language were one observation: document d is a region at (0, 20 d)."""
+    """Detections of documents as if a hundred of a language were one observation: document d is a region at (0, 20 d)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     hits = document_hits(spark, sf_dir).join(docs, "doc_id")
     box = geometry.box(F.lit(0.0), F.col("doc_id") * 20.0, F.lit(100.0), F.lit(16.0))
     odd = F.col("doc_id") % 2 == 1
-    rows = hits.select(F.col("lang").alias("observation_id"), (F.col("doc_id") * 100 + F.col("k")).cast("int").alias("det_ord"), "type", F.when(odd, "OCR").otherwise("DOM_TEXT").alias("source"), F.lit(None).cast("string").alias("context_source"), F.lit(None).cast("string").alias("element_id"), "text", "confidence", "reason", box.alias("bbox"), "start", "end", F.col("doc_id").cast("int").alias("region_index"), F.lit(None).cast("double").alias("ocr_confidence"))
+    rows = hits.select(F.concat("lang", F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string")).alias("observation_id"), (F.col("doc_id") % 100 * 1_000_000 + F.col("k")).cast("int").alias("det_ord"), "type", F.when(odd, "OCR").otherwise("DOM_TEXT").alias("source"), F.lit(None).cast("string").alias("context_source"), F.lit(None).cast("string").alias("element_id"), "text", "confidence", "reason", box.alias("bbox"), "start", "end", F.col("doc_id").cast("int").alias("region_index"), F.lit(None).cast("double").alias("ocr_confidence"))
     return rows
 
 
 _FLAT = "cast(null as struct<width:double,height:double,scroll_x:double,scroll_y:double,dpr:double>) as viewport", "cast(null as struct<width:int,height:int>) as canvas", "cast(null as double) as dpr"
-_NORM = "CASE type WHEN 'EMAIL' THEN lower(text) ELSE regexp_replace(text, CASE type WHEN 'PHONE' THEN '[^0-9]' ELSE '[\\s_-]' END, '', 'g') END"
-_DETS = f"""{_HITS}, dets AS (SELECT lang AS observation_id, CAST(h.doc_id * 100 + row_number() OVER (PARTITION BY h.doc_id ORDER BY kind_rank, ordinal) - 1 AS INT) AS det_ord, type, h.doc_id AS d, h.text, {_NORM.replace("text", "h.text")} AS norm
+_DETS = f"""{_HITS}, dets AS (SELECT lang || '-' || CAST(h.doc_id // 100 AS VARCHAR) AS observation_id, CAST(h.doc_id % 100 * 1000000 + row_number() OVER (PARTITION BY h.doc_id ORDER BY kind_rank, ordinal) - 1 AS INT) AS det_ord, type, h.doc_id AS d, h.text, {_NORM.replace("text", "h.text")} AS norm
   FROM hits h JOIN documents USING (doc_id))"""
 
 
@@ -423,19 +441,92 @@ def canonical_pick(spark, sf_dir):
     return c.select("observation_id", "root", F.size("evidence").cast("long").alias("n"), "source", "reason", F.coalesce("text", F.lit("-")).alias("text"), "ocr_confidence", "element_id")
 
 
+_PAIRS = """SELECT CAST(CAST(floor(p_partkey / 12) AS INT) AS VARCHAR(9)) AS observation_id, CAST(p_partkey AS INT) AS det_ord, CASE p_partkey % 3 WHEN 0 THEN 'EMAIL' ELSE 'NAME' END AS type,
+  CASE p_partkey % 5 WHEN 0 THEN 'DOM' WHEN 1 THEN 'OCR' ELSE 'DOM_TEXT' END AS source, CASE p_partkey % 7 WHEN 0 THEN 'e1' WHEN 1 THEN '' END AS element_id,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN concat('user', CAST(p_partkey % 4 AS VARCHAR(2)), '@Mail.example.com') ELSE concat('Jonathan Smit', CASE p_partkey % 8 WHEN 0 THEN 'h' WHEN 1 THEN 't' WHEN 2 THEN 'hson' ELSE '' END) END AS text,
+  CASE WHEN p_partkey % 11 > 0 THEN CAST((p_partkey * 37) % 160 AS DOUBLE) END AS x, CAST((p_partkey * 91) % 120 AS DOUBLE) AS y, CAST(30 + p_size AS DOUBLE) AS w, 16e0 AS h
+FROM {part}"""
+DERIVED["pairs"] = ("part", _PAIRS)
+
+
+@query(f"""WITH {cte("pairs")}, p AS (SELECT *, source = 'DOM' AND text IS NULL AS st, coalesce(lower(text), '') AS norm FROM pairs),
+j AS (SELECT a.observation_id, a.det_ord AS i, b.det_ord AS j, a.type, a.st OR b.st AS structural, a.norm AS s, b.norm AS t, a.source = b.source AS same_source, a.x IS NOT NULL AND b.x IS NOT NULL AS boxed,
+  coalesce(a.element_id = b.element_id AND a.element_id <> '', false) AS same_element, a.w * a.h AS p, b.w * b.h AS q,
+  greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS inter, sqrt((a.x + a.w / 2 - b.x - b.w / 2) ** 2 + (a.y + a.h / 2 - b.y - b.h / 2) ** 2) AS d
+  FROM p a JOIN p b ON a.observation_id = b.observation_id AND a.type = b.type AND a.det_ord < b.det_ord),
+u AS (SELECT *, CASE WHEN boxed AND inter > 0 THEN inter / (p + q - inter) ELSE 0 END AS iou, string_split(s, ' ') AS sw, string_split(t, ' ') AS tw FROM j)
+SELECT observation_id, i, j, CASE WHEN same_element OR structural OR s = t THEN 'EXACT' ELSE 'FUZZY' END AS kind FROM u WHERE same_element
+  OR (structural AND boxed AND (iou > 0.2 OR inter > 0.5 * least(p, q)))
+  OR (NOT structural AND s <> '' AND s = t AND CASE WHEN same_source THEN boxed AND (iou > 0.3 OR d < 35) ELSE NOT boxed OR iou > 0 OR d < 200 END)
+  OR (NOT structural AND type = 'NAME' AND s <> '' AND t <> '' AND s <> t AND boxed AND (iou > 0.2 OR d < 80)
+    AND (1 - levenshtein(s, t) / CAST(greatest(length(s), length(t)) AS DOUBLE) >= 0.85 OR 2.0 * len(list_filter(sw, lambda v: list_contains(tw, v))) / (len(sw) + len(tw)) >= 0.8))""")
+def match_links(spark, sf_dir):
+    """Links of the four kinds: one element, structural containment, equal texts, nearly equal texts."""
+    rows = derived(spark, sf_dir, "pairs").withColumn("bbox", F.when(F.col("x").isNotNull(), geometry.box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))))
+    rows = rows.withColumns({"confidence": F.lit(0.9), "reason": F.lit("r"), "context_source": F.lit(None).cast("string"), "ocr_confidence": F.lit(None).cast("double")} | {c: F.lit(None).cast("int") for c in ("start", "end", "region_index")})
+    o = rows.select("observation_id").distinct().selectExpr("observation_id", *_FLAT)
+    return fusion.match_links(fusion.prepared(rows, o)).select("observation_id", "i", "j", "kind")
+
+
+@query(f"""WITH {cte("boxes")}, h AS (SELECT a.k, CAST(b.k % 64 AS DOUBLE) / 64 AS c FROM boxes a LEFT JOIN boxes b ON a.obs = b.obs AND greatest(a.x, b.x) < least(a.x + a.w, b.x + b.w) AND greatest(a.y, b.y) < least(a.y + a.h, b.y + b.h))
+SELECT k, floor(avg(c) * 100 + 0.5) / 100 AS confidence FROM h GROUP BY k""")
+def overlapping_confidence(spark, sf_dir):
+    """The mean confidence of the recognised words that a box overlaps."""
+    b = derived(spark, sf_dir, "boxes").withColumn("b", geometry.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
+    words = b.groupBy("obs").agg(F.collect_list(F.struct(F.col("b").alias("bbox"), ((F.col("k") % 64) / 64).alias("confidence"))).alias("words"))
+    return b.join(words, "obs").select("k", F.expr(grounding.overlapping_confidence_sql("words", "b")).alias("confidence"))
+
+
+_SEEN = "CASE c_custkey % 4 WHEN 0 THEN concat('(user', CAST(c_custkey AS VARCHAR(9)), '@mail.example.com)') WHEN 1 THEN concat('+91-98765-', CAST(10000 + c_custkey % 90000 AS VARCHAR(9))) WHEN 2 THEN 'No:4111-1111-1111-1111' ELSE c_name END"
+
+
+@query("""SELECT CAST(c_custkey // 9 AS VARCHAR) AS observation_id, CASE c_custkey % 4 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'PHONE' ELSE 'CARD' END AS type, 'OCR' AS source,
+  CASE c_custkey % 4 WHEN 0 THEN 'user' || c_custkey || '@mail.example.com' WHEN 1 THEN '+91-98765-' || (10000 + c_custkey % 90000) ELSE '4111-1111-1111-1111' END AS text,
+  CAST(CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 3 END AS INT) AS start, 7e0 * (c_custkey % 9) AS x FROM customer WHERE c_custkey % 4 < 3""")
+def ocr_detections(spark, sf_dir):
+    """What single recognised words hold."""
+    w = table(spark, sf_dir, "customer").selectExpr("cast(cast(floor(c_custkey / 9) as int) as string) as observation_id", "cast(c_custkey as int) as ord", f"{_SEEN} as text", "0.4D as confidence", "named_struct('x', 7D * (c_custkey % 9), 'y', 0D, 'width', 50D, 'height', 10D) as bbox")
+    return detect.detect_ocr_words(w).select("observation_id", "type", "source", "text", "start", F.col("bbox.x").alias("x"))
+
+
+@query("""SELECT 'e' || c_custkey AS element_id, u.k, u.text FROM customer, LATERAL (VALUES (0, 'a' || c_custkey || '@x.example.com', true), (1, 'b' || c_custkey || '@x.example.com', c_custkey % 3 = 1)) u(k, text, said) WHERE said""")
+def element_hits(spark, sf_dir):
+    """Hits in elements' texts, then those of their names that the text does not have."""
+    e = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as observation_id", "cast(c_custkey as int) as ord", "concat('e', c_custkey) as element_id", "'a' as tag", "cast(null as string) as type", "cast(null as string) as name", "cast(null as string) as placeholder", "cast(null as string) as autocomplete", "concat('write to a', c_custkey, '@x.example.com today') as text", "case c_custkey % 3 when 0 then concat('a', c_custkey, '@x.example.com') when 1 then concat('b', c_custkey, '@x.example.com or a', c_custkey, '@x.example.com') else '' end as accessible_name", "cast(null as struct<x:double,y:double,width:double,height:double>) as bbox")
+    found = detect.detect_elements(e)
+    return found.select("element_id", (F.row_number().over(Window.partitionBy("element_id").orderBy("at.k")) - 1).alias("k"), "text")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS observation_id, false AS allowed, 'PRIVACY_GATE_UNAVAILABLE' AS reasons, true AS empty FROM orders")
+def shut_gate(spark, sf_dir):
+    v = gate.shut(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("observation_id")))
+    return v.select("observation_id", "allowed", F.array_join("reasons", ",").alias("reasons"), F.col("outbound").isNull().alias("empty"))
+
+
+@query("SELECT event_id, event_id % 6 < 4 AS forbidden FROM events")
+def forbidden_keys(spark, sf_dir):
+    """JSON with a key that must never leave, at some depth and in any case, or that is broken or absent."""
+    made = "case event_id % 6 when 0 then concat('{\"a\":[1,{\"Password\":', event_id, '}]}') when 1 then '{\"x\":{\"APIKEY\":null}}' when 2 then concat('{\"k\":', event_id) when 4 then concat('{\"a\":\"password\",\"b\":[', event_id, ']}') when 5 then props end"
+    return table(spark, sf_dir, "events").select("event_id", gate.json_holds_forbidden_key(F.expr(made)).alias("forbidden"))
+
+
 @query()
 def fuzzy_fusion(spark, sf_dir):
     tables = Tables(spark, "fuzzy")
-    names = table(spark, sf_dir, "part").where("p_partkey is not null").selectExpr("cast(p_partkey % 499 as string) as observation_id", "cast(p_partkey as int) as det_ord", "'NAME' as type", "'RAMPART' as source", "'DOM' as context_source", "cast(null as string) as element_id", "concat_ws(' ', slice(split(p_name, ' '), 1, 2)) as text", "0.9D as confidence", "'rampart-ner:NAME' as reason", "named_struct('x', cast((p_partkey * 7) % 60 as double), 'y', 0D, 'width', 60D, 'height', 16D) as bbox", "cast(null as int) as start", "cast(null as int) as end", "cast(null as int) as region_index", "cast(null as double) as ocr_confidence")
+    names = table(spark, sf_dir, "part").where("p_partkey is not null").selectExpr("cast(cast(floor(p_partkey / 40) as int) as string) as observation_id", "cast(p_partkey as int) as det_ord", "'NAME' as type", "'RAMPART' as source", "'DOM' as context_source", "cast(null as string) as element_id", "concat_ws(' ', slice(split(p_name, ' '), 1, 2)) as text", "0.9D as confidence", "'rampart-ner:NAME' as reason", "named_struct('x', cast((p_partkey * 7) % 60 as double), 'y', 0D, 'width', 60D, 'height', 16D) as bbox", "cast(null as int) as start", "cast(null as int) as end", "cast(null as int) as region_index", "cast(null as double) as ocr_confidence")
     d = tables.write(names)
     o = d.select("observation_id").distinct().selectExpr("observation_id", *_FLAT)
     return fusion.fuse(d, o).select("observation_id", "fused_ord", "text", "confidence", F.size("evidence").alias("n"))
 
 
 _PLACE = "concat('[', type, ']')"
-_ISLANDS = f"""{_HITS}, ordered AS (SELECT doc_id, type, start, "end", row_number() OVER w AS r, CASE WHEN start < max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, kind_rank, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end" DESC, kind_rank, ordinal)),
+_ISLANDS_OF_HITS = f"""ordered AS (SELECT doc_id, type, start, "end", row_number() OVER w AS r, CASE WHEN start < max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, kind_rank, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end" DESC, kind_rank, ordinal)),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY r) AS island FROM ordered),
 islands AS (SELECT doc_id, island, min(start) AS s, max("end") AS e, arg_min({_PLACE}, r) AS p, count(*) AS n FROM numbered GROUP BY doc_id, island)"""
+_ISLANDS = f"{_HITS}, {_ISLANDS_OF_HITS}"
+_REPLACED = """cuts AS (SELECT doc_id, s, e, p, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS b FROM islands),
+made AS (SELECT doc_id, string_agg(concat(substr(text, CAST(b AS INT) + 1, CAST(s - b AS INT)), p), '' ORDER BY s) AS head, max(e) AS last, count(*) AS n FROM cuts JOIN {0} USING (doc_id) GROUP BY doc_id),
+shown AS (SELECT * REPLACE (CASE WHEN n IS NULL THEN text ELSE concat(head, substr(text, CAST(last AS INT) + 1)) END AS text) FROM {0} LEFT JOIN made USING (doc_id))"""
 
 
 @query(f"WITH {_ISLANDS} SELECT doc_id, CAST(island AS BIGINT) AS island, CAST(s AS INT) AS island_start, CAST(e AS INT) AS island_end, p AS island_placeholder, n FROM islands")
@@ -444,9 +535,7 @@ def span_islands(spark, sf_dir):
     return redact_text.span_islands(hits, "doc_id").groupBy("doc_id", "island", "island_start", "island_end", "island_placeholder").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_ISLANDS}, cuts AS (SELECT doc_id, s, e, p, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS b FROM islands),
-made AS (SELECT doc_id, string_agg(concat(substr(text, CAST(b AS INT) + 1, CAST(s - b AS INT)), p), '' ORDER BY s) AS head, max(e) AS last, count(*) AS n FROM cuts JOIN documents USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, md5(CASE WHEN n IS NULL THEN text ELSE concat(head, substr(text, CAST(last AS INT) + 1)) END) AS text_md5, CAST(coalesce(n, 0) AS INT) AS n_redactions FROM documents LEFT JOIN made USING (doc_id)""")
+@query(f"WITH {_ISLANDS}, {_REPLACED.format('documents')} SELECT doc_id, md5(text) AS text_md5, CAST(coalesce(n, 0) AS INT) AS n_redactions FROM shown")
 def redacted_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", text.detect("text").alias("d"))
     table_sql = ", ".join(f"'{k}', '[{k}]'" for k in ("EMAIL", "PHONE", "CARD"))
@@ -518,6 +607,16 @@ def gate_verdicts(spark, sf_dir):
     return gate.gate(v).select("observation_id", "allowed", F.array_join("reasons", ",").alias("reasons"), F.col("outbound.page.url").alias("outbound_url"))
 
 
+@query(f"""SELECT observation_id, v.goal, v.outbound_url AS url, v.sanitized_text AS text, 6 AS n_actions, false AS forbidden
+FROM (SELECT * FROM ({ORACLES["gate_verdicts"]}) g JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS observation_id, o_orderpriority AS goal, CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE 'clean text' END AS sanitized_text FROM orders) USING (observation_id)) v WHERE v.allowed""")
+def outbound_records(spark, sf_dir):
+    """The JSON that may leave, read again; it holds no forbidden key."""
+    v = derived(spark, sf_dir, "verdicts").withColumns({"available_actions": F.lit(None).cast("array<string>"), "has_canvas": F.lit(False), "canvas": F.expr("named_struct('width', canvas_width, 'height', 600)")})
+    j = gate.outbound_json(gate.gate(v))
+    field = lambda path: F.get_json_object("json", path)
+    return j.select("observation_id", field("$.goal").alias("goal"), field("$.page.url").alias("url"), field("$.dom.text").alias("text"), F.json_array_length(field("$.available_actions")).alias("n_actions"), gate.json_holds_forbidden_key("json").alias("forbidden"))
+
+
 @query("SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
 def last_observations(spark, sf_dir):
     from veilwright.streaming.observations import last_per_key
@@ -551,10 +650,8 @@ def event_props(spark, sf_dir):
 
 @query("SELECT conv_id, md5(string_agg(trim(text), chr(10) ORDER BY turn) FILTER (trim(text) <> '')) AS joined_md5, count(*) AS n FROM conversations GROUP BY conv_id")
 def joined_conversations(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("text", text.trim(F.col("text")))
-    packed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count(F.lit(1)).alias("n"))
-    joined = F.array_join(F.filter(F.transform("t", lambda x: x["text"]), lambda x: x != ""), "\n")
-    return packed.select("conv_id", F.md5(F.nullif(joined, F.lit("")).cast("binary")).alias("joined_md5"), "n")
+    joined = redact_text.joined_texts(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return joined.select("conv_id", F.md5(F.col("text").cast("binary")).alias("joined_md5"), "n")
 
 
 @query("SELECT o_orderkey, floor(o_totalprice * 10 + 0.5) / 10 AS one, floor(o_totalprice + 0.5) AS whole FROM orders")
@@ -567,22 +664,17 @@ def detection_counts(spark, sf_dir):
     return document_detections(spark, sf_dir).groupBy("observation_id", "type", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def accent_occurrences(spark, sf_dir):
-    """Where the first word of each document occurs in it, ignoring accents if need be."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+_PLAIN = "strip_accents(lower({0}))"
+_TIMES = "CAST((length({0}) - length(replace({0}, word, ''))) / length(word) AS BIGINT)"
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                word = ner.fold((t or "").split(maxsplit=1)[0]) if (t or "").strip() else ""
-                rows.append((i, word, len(redact_text.occurrences(t or "", word))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int64(), pa.string(), pa.int64()))], ["doc_id", "word", "n"])
-
-    return docs.mapInArrow(run, "doc_id long, word string, n long")
+@query(f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_PLAIN.format("regexp_extract(coalesce(text, ''), '[^ \\t\\n\\r]+')")} AS word FROM documents), c AS (SELECT doc_id, text, {_PLAIN.format("text")} AS plain, word FROM w)
+SELECT doc_id, CASE WHEN word = '' THEN 0 WHEN contains(text, word) THEN {_TIMES.format("text")} WHEN contains(lower(text), word) THEN {_TIMES.format("lower(text)")} WHEN length(plain) = length(text) THEN {_TIMES.format("plain")} ELSE 0 END AS n FROM c""")
+def accent_occurrences(spark, sf_dir):
+    """How often the first word of each document, in plain letters, occurs in it, ignoring accents if need be."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[^ \t\n\r]+", 0)
+    return redact_text.occurrence_counts(docs.withColumn("word", ner.folded(word)), "doc_id", "text", "word")
 
 
 @query()
@@ -598,7 +690,19 @@ def page_pipeline(spark, sf_dir):
     return result.trace.select("observation_id", "n_fused", "merged_groups", "total_redactions", "masked_count", "allowed")
 
 
-@query()
+_LINES = """lines AS (SELECT * FROM (SELECT CAST(d AS VARCHAR) || ':' || CAST(k AS VARCHAR) AS doc_id, d, k, regexp_replace(regexp_replace(l[k + 1], '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS text
+  FROM (SELECT doc_id AS d, l, unnest(range(len(l))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE text <> '')"""
+
+
+# Equal values on one line or the next are one entity, and of an entity a line has its first place only; but a value that
+# is also an entity further away is sought everywhere.
+_MAPPED = f"""placed AS (SELECT *, {_NORM} AS norm, split_part(doc_id, ':', 1) AS d, CAST(split_part(doc_id, ':', 2) AS INT) AS k FROM every_hit),
+chained AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY d, type, norm ORDER BY k, ordinal) > 1 THEN 1 ELSE 0 END AS apart FROM placed),
+hits AS (SELECT * FROM chained QUALIFY row_number() OVER (PARTITION BY doc_id, type, norm ORDER BY kind_rank, ordinal) = 1 OR sum(apart) OVER (PARTITION BY d, type, norm) > 0)"""
+
+
+@query(f"""WITH {_LINES}, {_hits("lines").replace("hits AS", "every_hit AS", 1)}, {_MAPPED}, {_ISLANDS_OF_HITS}, {_REPLACED.format("lines")}, whole AS (SELECT d, sum(n) AS n, string_agg(trim(text), chr(10) ORDER BY k) AS text FROM shown GROUP BY d)
+SELECT CAST(doc_id AS VARCHAR) AS observation_id, CAST(coalesce(w.n, 0) AS INT) AS total_redactions, true AS complete, md5(coalesce(w.text, '')) AS text_md5, true AS allowed FROM documents LEFT JOIN whole w ON w.d = doc_id""")
 def document_pipeline(spark, sf_dir):
     """Every document, as lines of a page, through the whole engine; a white screen lets the gate open."""
     from veilwright.plans.pipeline import Inputs, execute
