@@ -147,3 +147,27 @@ def test_images(spark):
     got = {r.observation_id: r for r in images.pixel_stats(rows).collect()}
     assert (got["a"].non_zero_pixels, got["a"].non_zero_percent, got["a"].has_data) == (1, 25.0, True) and not got["b"].has_data
     assert images.upscale_images(rows.where("width > 0"), 2).first().width == 4 and images.test_card().shape == (400, 800, 4)
+
+
+def test_regions_that_are_passed_over_have_nothing_to_find():
+    """Skipping a region for an entity must not change the result: against a mapping of every pair."""
+    import random
+
+    from veilwright.config import DEFAULT
+    from veilwright.operators import redact_text as R
+
+    rnd = random.Random(5)
+    values = ["José Núñez", "jose nunez", "a@b.co", "A@B.CO", "ΟΔΟΣ", "Straße", "98765 43210", "x"]
+    for _ in range(400):
+        regions = [{"region_index": k, "text": rnd.choice(["", "the "]) + " and ".join(rnd.choices([*values, "nothing", "José", "ΟΔΟΣ Α"], k=rnd.randint(0, 4))), "bbox": rnd.choice([None, {"x": 0.0, "y": 20.0 * k, "width": 90.0, "height": 16.0}])} for k in range(rnd.randint(1, 4))]
+        entities = []
+        for k in range(rnd.randint(0, 3)):
+            text = rnd.choice([*values, None, " "])
+            source, context = rnd.choice([("DOM_TEXT", None), ("RAMPART", "DOM"), ("OCR", None), ("RAMPART", "OCR"), ("DOM", None)])
+            start = rnd.choice([None, 0, 4])
+            own = {"source": source, "context_source": context, "text": rnd.choice([text, rnd.choice(values)]), "reason": rnd.choice([None, "email-regex:reg1", "r"]), "start": start, "end": None if start is None else start + rnd.randint(1, 12), "bbox": None, "element_id": None}
+            entities.append({"fused_ord": k, "type": "EMAIL", "source": source, "context_source": context, "element_id": None, "text": text, "reason": own["reason"], "bbox": rnd.choice([None, {"x": 0.0, "y": 0.0, "width": 50.0, "height": 16.0}]), "sources": [source], "evidence": rnd.choice([[own], [own, own], [], None])})
+        got = R.redact_page(regions, entities)
+        for region, shown in zip(regions, got["regions"]):
+            spans = [R.Span(a, b, R.placeholder_of(e["type"]), name, e["fused_ord"]) for e in entities for a, b, name in R.Mapper(region, e, DEFAULT).spans()]
+            assert shown["text"] == R.rebuild(region["text"], R.merge(spans))

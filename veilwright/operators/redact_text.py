@@ -194,6 +194,23 @@ class Mapper:
         return self._named(self.target, "ocr_spatial_grounded") if self.target.lower() in self.text.lower() else []
 
 
+class Needles:
+    """What an entity may be found by: regions its evidence names, and its texts, plain and folded once."""
+
+    def __init__(self, entity: dict):
+        evidence = entity["evidence"] or []
+        offsets = [_region_tag(x["reason"]) for x in evidence if x["start"] is not None and x["end"] is not None]
+        self.everywhere, self.tags = None in offsets, set(offsets)
+        texts = {t for t in ((entity["text"] or "").strip(), *((x["text"] or "").strip() for x in evidence)) if t}
+        self.texts, self.lower, self.folded = texts, {t.lower() for t in texts}, {f for f in map(fold, texts) if f}
+
+    def may_hit(self, index: int | None, text: str, lower: str, folded: str) -> bool:
+        """False only where the mapping cannot find anything."""
+        if self.everywhere or index is None or index in self.tags:
+            return True
+        return any(t in lower for t in self.lower) or any(t in text for t in self.texts) or any(t in folded for t in self.folded)
+
+
 def merge(spans: list[Span]) -> list[tuple[int, int, str, list[Span]]]:
     """Islands of overlapping spans: start, end, placeholder, members in order."""
     islands: list[tuple[int, int, str, list[Span]]] = []
@@ -278,6 +295,7 @@ def needs_redaction(e: dict, matched: bool) -> bool:
 def redact_page(regions: list[dict], entities: list[dict], config: EngineConfig = DEFAULT) -> dict:
     """The regions of one observation with entities replaced, and the account of it; without regions nothing is asked for."""
     entities = entities if regions else []
+    needles = [Needles(e) for e in entities]
     shown, redactions = [], []
     failed: set[int] = set()
     direct: set[int] = set()
@@ -289,7 +307,10 @@ def redact_page(regions: list[dict], entities: list[dict], config: EngineConfig
         if text is None:
             continue
         spans = []
-        for e in entities:
+        lower, folded = text.lower(), fold(text) if needles else ""
+        for e, needle in zip(entities, needles):
+            if not needle.may_hit(region["region_index"], text, lower, folded):
+                continue
             for a, b, name in Mapper(region, e, config).spans():
                 spans.append(Span(a, b, placeholder_of(e["type"]), name, e["fused_ord"], e["type"], (e["text"] or "").strip()))
         mapped |= {s.entity for s in spans}
