@@ -48,11 +48,15 @@ def supported_names(names: DataFrame) -> DataFrame:
     formal = (F.coalesce("element_id", F.lit("")) != "") | reason.rlike(r"^(input\[|autocomplete)|name-field|form")
     tokens = F.size(F.filter(F.split(trim(F.coalesce("text", F.lit(""))), r"[\s ]+"), lambda w: w != ""))
     own = names.withColumn("region", region_of(F.col("region_index"), F.col("reason"))).withColumn("alone_ok", formal | (tokens >= 2))
+    alone = own.where("not alone_ok")
     o = own.select(F.col("observation_id").alias("oo"), F.col("det_ord").alias("od"), F.col("type").alias("ot"), F.col("region").alias("oregion"), F.col("context_source").alias("oc"))
-    nearby = (F.abs(F.col("region") - F.col("oregion")) <= 1) & _complements(F.col("type"), F.col("ot"), True)
-    seen = (F.col("context_source") == "OCR") & (F.col("oc") == "OCR") & _complements(F.col("type"), F.col("ot"), False)
-    partner = own.where("not alone_ok").join(o, (F.col("observation_id") == F.col("oo")) & (F.col("det_ord") != F.col("od")) & (F.coalesce(nearby, F.lit(False)) | F.coalesce(seen, F.lit(False))), "left_semi")
-    return own.where("alone_ok").unionByName(partner).drop("region", "alone_ok")
+    # partners nearby meet by region; a recognised partner has another type, so it is enough to know which types there are
+    around = alone.select("observation_id", "det_ord", "type", F.explode(F.expr("case when region is not null then sequence(region - 1, region + 1) end")).alias("at"))
+    nearby = around.join(o, (F.col("observation_id") == F.col("oo")) & (F.col("at") == F.col("oregion")) & (F.col("det_ord") != F.col("od")) & _complements(F.col("type"), F.col("ot"), True), "left_semi")
+    kinds = o.where("oc = 'OCR'").select("oo", "ot").distinct()
+    seen = alone.where("context_source = 'OCR'").join(kinds, (F.col("observation_id") == F.col("oo")) & _complements(F.col("type"), F.col("ot"), False), "left_semi")
+    partner = nearby.select("observation_id", "det_ord").union(seen.select("observation_id", "det_ord")).distinct()
+    return own.where("alone_ok").unionByName(alone.join(partner, ["observation_id", "det_ord"], "left_semi")).drop("region", "alone_ok")
 
 
 def nearby_addresses(a: Column, b: Column, same_context: Column, steps: Column) -> Column:
@@ -64,11 +68,22 @@ def nearby_addresses(a: Column, b: Column, same_context: Column, steps: Column)
 
 
 def address_links(addresses: DataFrame) -> DataFrame:
-    """(observation_id, i, j) of address parts that belong together; needs ``box`` and ``raw_index``."""
-    a = addresses.select("observation_id", F.col("det_ord").alias("i"), F.col("box").alias("a"), F.col("context_source").alias("ca"))
-    b = addresses.select("observation_id", F.col("det_ord").alias("j"), F.col("box").alias("b"), F.col("context_source").alias("cb"))
+    """(observation_id, i, j) of address parts that belong together; needs ``box``.
+
+    Parts with boxes meet in the cells of a grid as wide as the rule reaches and their neighbours, others by
+    their distance in sequence; so a crowded observation does not pair everything.
+    """
+    cell = [F.floor((F.col("box")[p] + F.col("box")[s] / 2) / reach).alias(c) for p, s, reach, c in (("x", "width", NEAR_COLUMN, "cx"), ("y", "height", NEAR, "cy"))]
+    placed = addresses.select("observation_id", "det_ord", "box", "context_source", *cell)
+    b = placed.select("observation_id", F.col("det_ord").alias("j"), F.col("box").alias("b"), F.col("context_source").alias("cb"), "cx", "cy")
+    a = placed.select("observation_id", F.col("det_ord").alias("i"), F.col("box").alias("a"), F.col("context_source").alias("ca"), "cx", "cy")
     near = nearby_addresses(F.col("a"), F.col("b"), F.col("ca") == F.col("cb"), F.abs(F.col("i") - F.col("j")))
-    return a.join(b, "observation_id").where((F.col("i") < F.col("j")) & near).select("observation_id", "i", "j")
+    around = F.explode(F.expr("flatten(transform(sequence(cx - 1, cx + 1), x -> transform(sequence(cy - 1, cy + 1), y -> named_struct('cx', x, 'cy', y))))"))
+    boxed = a.where("cx is not null and cy is not null").select("observation_id", "i", "a", "ca", around.alias("c")).select("observation_id", "i", "a", "ca", "c.*")
+    by_place = boxed.join(b, ["observation_id", "cx", "cy"]).where((F.col("i") < F.col("j")) & near)
+    after = a.drop("cx", "cy").withColumn("j", F.explode(F.expr(f"sequence(i + 1, i + {NEAR_STEPS})")))
+    by_order = after.join(b.drop("cx", "cy"), ["observation_id", "j"]).where((F.col("a").isNull() | F.col("b").isNull()) & near)
+    return by_place.select("observation_id", "i", "j").union(by_order.select("observation_id", "i", "j"))
 
 
 def valid_cluster(types: Column) -> Column:
