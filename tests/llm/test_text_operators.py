@@ -491,3 +491,52 @@ def test_reading_goes_on_after_damaged_records():
     broken = member[:20] + b"\xff" * 20 + member[40:]
     skipped = []
     assert [h["x-name"] for h, _ in warc.read_records(gzip.compress(record(b"a")) + broken + gzip.compress(record(b"b")), skipped)][-1] == "b" and sum(skipped) >= len(broken)
+
+
+def test_weak_etags_and_clashing_columns(spark):
+    rows = [(1, "http://a/", 1, "response", 'W/"x"', None, {"a": "1"}, "b"), (2, "http://a/", 2, "revisit", '"x"', None, None, "b"), (3, "http://a/", 3, "revisit", 'W/"y"', None, None, "b")]
+    d = spark.createDataFrame(rows, RECORDS).withColumns({c: F.lit("z") for c in ("canonical", "slice", "found", "at", "full", "last", "status", "near")})
+    assert {r.record_id: (r.status, r.response_id) for r in warc.resolve_revisits(d).collect()} == {2: ("resolved", 1), 3: ("validator_mismatch", None)}
+
+
+def test_archives_to_resolved_revisits(spark):
+    import gzip
+
+    def record(key, kind, url, date, http):
+        head = f"WARC/1.1\r\nWARC-Record-ID: <{key}>\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\nContent-Length: {len(http)}\r\n\r\n"
+        return head.encode() + http + b"\r\n\r\n"
+
+    full = record("r1", "response", "http://a.com/x?utm_source=q", "2024-01-01T00:00:00Z", b'HTTP/1.1 200 OK\r\nETag: "e"\r\nContent-Type: text/html\r\n\r\nhello')
+    again = record("r2", "revisit", "http://A.com/x", "2024-01-02T00:00:00Z", b'HTTP/1.1 304 Not Modified\r\nETag: W/"e"\r\nDate: now\r\n\r\n')
+    early = record("r3", "revisit", "http://a.com/x", "broken", b"HTTP/1.1 304 Not Modified\r\n\r\n")
+    files = spark.createDataFrame([("a", gzip.compress(full)), ("b", again + b"garbage\r\n\r\n" + early), ("c", None), ("d", b"")], "path string, content binary")
+    records = warc.archive_records(files)
+    assert {r.record_id: (r.kind, r.content, r.archive) for r in records.collect()} == {"<r1>": ("response", b"hello", "a"), "<r2>": ("revisit", b"", "b"), "<r3>": ("revisit", b"", "b")}
+    got = {r.record_id: (r.status, r.response_id, r.headers) for r in warc.resolve_revisits(records).collect()}
+    assert got == {"<r2>": ("resolved", "<r1>", {"content-type": "text/html", "etag": 'W/"e"', "date": "now"}), "<r3>": ("no_response", None, {})}
+
+
+LONG = "the long text goes on and on, " * 60_000
+
+
+def test_very_long_texts_and_string_ids(spark):
+    d = docs(spark, texts=["short one", None, "", LONG, LONG + "x"]).withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id")))
+    n = d.count()
+    by_id = lambda rows: {r.doc_id: r for r in rows}
+    media_rows = by_id(media.text_media(d).collect())
+    assert media_rows["k3"].n_bytes == len(LONG) and media.decode(media_rows["k4"].media).tobytes() == media.payload_of(LONG + "x")
+    assert by_id(pii.find_personal_data(d).collect())["k3"].spans == ""
+    labels = spark.createDataFrame([("k0", 1), ("k3", 0)], "doc_id string, toxic int")
+    assert toxicity.toxicity(d, labels).count() == n
+    assert quality.resample(d, labels.select("doc_id"), k=2).where("n_grams > 400000").count() == 2
+    packed = packing.pack(d, PATH)
+    assert packed.where("doc_id = 'k3'").agg(F.sum("length")).first()[0] == len(library_ids(LONG)) + 1
+    ids = by_id(bpe.round_trip(d, PATH).collect())
+    assert ids["k4"].n_tokens == len(library_ids(LONG + "x")) and ids["k3"].decoded_sha256 == hashlib.sha256(LONG.encode()).hexdigest()
+    assert secrets.scan_secrets(d).count() == 0
+
+
+def test_equal_keys_at_the_edge(spark):
+    d = spark.createDataFrame([(None, "same words here")] * 40 + [(5, "same words here")], "doc_id long, text string")
+    got = quality.resample(d, d.where("doc_id = 5").select("doc_id"), k=10).collect()
+    assert len(got) == 41 and sum(r.selected for r in got) in (40, 41)

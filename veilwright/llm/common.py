@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from veilwright.session import importable
 from veilwright.stages import Tables
 
-__all__ = ["ALPHANUMERIC", "NOT_SPACE", "Tables", "Words", "documents", "id_and_text", "mix", "parts", "slices", "small_side", "write_bucketed"]
+__all__ = ["ALPHANUMERIC", "NOT_SPACE", "Tables", "Words", "documents", "id_and_text", "id_bytes", "mix", "parts", "slices", "small_side", "write_bucketed"]
 
-#: A join side may be broadcast only while it has at most this many rows of at most this many bytes.
-BROADCAST_ROWS = 400_000
-BROADCAST_ROW_BYTES = 64
+#: A join side may be broadcast only while its counted rows take at most so many bytes.
+BROADCAST_BYTES = 24 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +28,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def small_side(df: DataFrame, rows: int, row_bytes: int = 16) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows keep within the bound, else with a merge-join hint."""
-    fits = rows <= BROADCAST_ROWS and row_bytes <= BROADCAST_ROW_BYTES
+def small_side(df: DataFrame, rows: int, row_bytes: int | None = 16) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows of at most ``row_bytes`` keep within the bound, else (or if None) with a merge-join hint."""
+    fits = row_bytes is not None and rows * row_bytes <= BROADCAST_BYTES
     return F.broadcast(df) if fits else df.hint("merge")
 
 
+def id_bytes(df: DataFrame, column: str, rest: int = 16) -> int | None:
+    """The most bytes of a row with an id and ``rest`` more; None if ids have no fixed length."""
+    return rest + 8 if df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long", "date", "timestamp") else None
+
+
 def write_bucketed(tables: Tables, df: DataFrame, column: str, buckets: int) -> DataFrame:
     """``df`` written below the shared folder in hash buckets of ``column``; joins and groups by it need not move these rows again."""
     name = f"veilwright_{uuid.uuid4().hex}"

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import Tables, id_and_text, small_side
+from veilwright.llm.common import Tables, id_and_text, id_bytes, small_side
 
 FIRST_DIGIT = 128
 WIDEN = 8
@@ -48,7 +48,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # a repeated (id, text) row appears once here and once in the texts, so ids are made distinct
         ids = open_ids.dropDuplicates(["doc_id", "sha"])
         texts = base.select("doc_id", body.alias("body"), sha.alias("sha"))
-        hit = small_side(ids.select(F.col("doc_id").alias("i"), F.col("sha").alias("s"), "gid"), n_open, 64)
+        hit = small_side(ids.select(F.col("doc_id").alias("i"), F.col("sha").alias("s"), "gid"), n_open, id_bytes(ids, "doc_id", 64 + 24))
         active = tables.write(texts.join(hit, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s"))).select("doc_id", "sha", "gid", F.expr(f"substring(body, {done + 1})").alias("rest")))
         while True:
             digit = F.substring("rest", 1, width)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import NOT_SPACE, Tables, Words, id_and_text, mix, parts, slices, small_side
+from veilwright.llm.common import NOT_SPACE, Tables, Words, id_and_text, id_bytes, mix, parts, slices, small_side
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
@@ -118,7 +118,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, k: int | None = None, share
     target = tables.write(target_ids.select("doc_id").where("doc_id is not null").distinct())
     marked = target.withColumn("target", F.lit(True))
     n_target = target.count()
-    joined = rows.join(small_side(marked, n_target), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    joined = rows.join(small_side(marked, n_target, id_bytes(marked, "doc_id")), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     ratio = log_ratio(bucket_counts(joined))
     key = (F.col("log_weight") + gumbel(seed)).alias("gumbel_key")
     scored = tables.write(log_weights(docs, ratio, id_col, text_col).select("*", key).withColumn("rank", _sortable(F.col("gumbel_key"))))
@@ -128,8 +128,12 @@ def resample(docs: DataFrame, target_ids: DataFrame, k: int | None = None, share
         chosen = F.lit(False)
     else:
         edge, left = kth_largest(scored, "rank", k)
-        ties = scored.where(F.col("rank") == edge).select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("doc_id").limit(left)
-        last = ties.agg(F.max("doc_id")).first()[0]
+        # rows that share the edge nearly always share their id: one counted row each
+        last, reached = None, 0
+        for tied, times in scored.where(F.col("rank") == edge).groupBy("doc_id").count().orderBy("doc_id").toLocalIterator():
+            last, reached = tied, reached + times
+            if reached >= left:
+                break
         chosen = (F.col("rank") > edge) | ((F.col("rank") == edge) & (F.col("doc_id").isNull() if last is None else F.coalesce(F.col("doc_id") <= last, F.lit(True))))
     return scored.select("doc_id", "n_grams", "log_weight", "gumbel_key", chosen.alias("selected"))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import Tables, id_and_text, parts, small_side
+from veilwright.llm.common import Tables, id_and_text, id_bytes, parts, small_side
 from veilwright.llm.components import connected_components
 
 WORDS = 4
@@ -190,11 +190,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def id_bytes(rows: DataFrame, column: str) -> int:
-    """Bytes a row of a number and an id may take at most in a broadcast; ids of open length count as too long."""
-    return 24 if rows.schema[column].dataType.typeName() in ("byte", "short", "integer", "long") else 1 << 20
-
-
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents whose id is the smallest of their near-duplicate class, with all their columns.
 

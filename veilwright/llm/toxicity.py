@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import ALPHANUMERIC, Tables, Words, id_and_text, mix, parts, slices, small_side
+from veilwright.llm.common import ALPHANUMERIC, Tables, Words, id_and_text, id_bytes, mix, parts, slices, small_side
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id
     unlabelled = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(max_unlabelled).withColumn("label", F.lit(0))
     sample = positive.union(tables.write(unlabelled))
     fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(INNER_FOLDS)).cast("int").alias("fold")
-    picked = tables.write(rows.join(small_side(sample, max_positive + max_unlabelled), "doc_id").select("text", "label", fold))
+    picked = tables.write(rows.join(small_side(sample, max_positive + max_unlabelled, id_bytes(sample, "doc_id")), "doc_id").select("text", "label", fold))
     sizes = {r.label: r.n for r in picked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     nothing = Model(np.zeros(1 << BITS, np.float32), -4.0)
     if len(sizes) < 2:

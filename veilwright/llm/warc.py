@@ -14,10 +14,12 @@ of their moment by an equi-join, in which adaptive execution may split a hot key
 
 from __future__ import annotations
 
+import datetime
 import re
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +81,9 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     matched = matched.select("record_id", "canonical", "etag", "last_modified", "headers", "found").unionByName(rest.select("record_id", "canonical", "etag", "last_modified", "headers", F.lit(None).cast(matched.schema["found"].dataType).alias("found")))
 
     def contradicts(name: str) -> Column:
-        return F.coalesce(F.col(name) != F.col(f"found.{name}"), F.lit(False))
+        # validators of a not-modified answer are compared weakly (RFC 9110, 8.8.3.2)
+        own, stored = (F.regexp_replace(F.col(c), "^W/", "") if name == "etag" else F.col(c) for c in (name, f"found.{name}"))
+        return F.coalesce(own != stored, F.lit(False))
 
     status = F.when(F.col("found").isNull(), "no_response").when(contradicts("etag") | contradicts("last_modified"), "validator_mismatch").otherwise("resolved")
     return matched.withColumn("status", status).select(
@@ -163,3 +167,42 @@ def read_records(data: bytes, skipped: list[int] | None = None) -> Iterator[tupl
             fields[name.strip().lower()] = value.strip()
         yield fields, data[end + 4 : stop]
         at = after
+
+
+RECORDS = "record_id string, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, archive string, content binary"
+
+
+def _micros(date: str | None) -> int | None:
+    try:
+        return int(datetime.datetime.fromisoformat(date).timestamp() * 1_000_000)
+    except (TypeError, ValueError):
+        return None
+
+
+def _http(block: bytes) -> tuple[dict[str, str], bytes]:
+    """The header fields (lower-case names) and the body of an HTTP message."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    lines = (line.decode("utf-8", "replace").partition(":") for line in head.split(b"\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, colon, value in lines if colon}, body
+
+
+def archive_records(files: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
+    """Rows of ``RECORDS`` from archives' bytes (such as ``binaryFile``), ready for ``resolve_revisits``.
+
+    ``ts`` counts microseconds; a missing or unreadable date, address or header is null.  Null and empty
+    archives give no rows; damaged records are passed over.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = files.select(F.col(f"`{id_col}`").cast("string").alias("archive"), F.col(f"`{content_col}`").alias("content"))
+    kind = to_arrow_schema(files.sparkSession.createDataFrame([], RECORDS).schema)
+
+    def run(batches):
+        for batch in batches:
+            for archive, data in zip(batch.column(0), batch.column(1)):
+                for fields, block in read_records(data.as_py() or b""):
+                    headers, body = _http(block)
+                    row = (fields.get("warc-record-id"), fields.get("warc-target-uri"), _micros(fields.get("warc-date")), fields.get("warc-type"), headers.get("etag"), headers.get("last-modified"), list(headers.items()), archive.as_py(), body)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kind)], kind.names)
+
+    return rows.mapInArrow(run, RECORDS)
