@@ -27,12 +27,12 @@ PREFIXES = (4, 5, 6)
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 8_000
 FEATURES = 4_096
-STEPS = 600
-#: Settings tried (weight decay); the one with the least risk on the inner validation rows is used.
-DECAYS = (3e-6, 3e-5, 3e-4, 3e-3)
+#: Settings tried; those with the least risk on the inner validation rows are used: weight decay, how far below zero, as a
+#: share of the prior, the corrected risk may fall before a step is taken back, and the number of steps.
+DECAYS = (3e-5, 3e-4, 3e-3)
+SLACKS = (0.0, 0.2)
+STEPS = (150, 300, 600)
 INNER_FOLDS = 5
-#: How far below zero, as a share of the prior, the corrected risk may fall before a step is taken back.
-SLACK = 0.2
 #: A bucket becomes a feature if positives hold it more often than clean texts do by so many deviations.
 GAIN = 6.0
 THRESHOLD = 0.7
@@ -183,16 +183,17 @@ def _margin(m, weights: np.ndarray) -> np.ndarray:
 
 
 def tuned(places: list[np.ndarray], label: np.ndarray, folds: np.ndarray, prior: float, size: int) -> np.ndarray:
-    """Weights (and the bias) fitted to all rows with the decay whose risk on the rows of fold 0, not fitted to then, is least."""
+    """Weights (and the bias) fitted to all rows with the settings whose risk on the rows of fold 0, not fitted to then, is least."""
 
     def parts(rows: np.ndarray):
         return [_matrix([places[k] for k in np.flatnonzero(rows & side)]) for side in (label, ~label)]
 
     inner, outer = parts(folds == 0), parts(folds != 0)
-    decay = DECAYS[1]
+    best = (DECAYS[0], SLACKS[-1], STEPS[-1])
     if all(m[2] for m in (*inner, *outer)):
-        decay = min(DECAYS, key=lambda d: pu_risk(*inner, fit(*outer, prior, size, d), prior))
-    return fit(*parts(np.ones(len(label), bool)), prior, size, decay)
+        risks = {(d, s, n): pu_risk(*inner, w, prior) for d in DECAYS for s in SLACKS for n, w in fit(*outer, prior, size, d, s).items()}
+        best = min(risks, key=risks.get)
+    return fit(*parts(np.ones(len(label), bool)), prior, size, *best[:2])[best[2]]
 
 
 def pu_risk(p, u, weights: np.ndarray, prior: float) -> float:
@@ -201,8 +202,11 @@ def pu_risk(p, u, weights: np.ndarray, prior: float) -> float:
     return float(prior * np.logaddexp(0, -m_p).mean() + max(0.0, np.logaddexp(0, m_u).mean() - prior * np.logaddexp(0, m_p).mean()))
 
 
-def fit(p, u, prior: float, size: int, decay: float = DECAYS[1], steps: int = STEPS) -> np.ndarray:
-    """Full-batch Adam on the non-negative risk with logistic loss; ``p`` and ``u`` are matrices of positives and unlabelled rows."""
+def fit(p, u, prior: float, size: int, decay: float, slack: float) -> dict[int, np.ndarray]:
+    """Weights after each number of ``STEPS``: full-batch Adam on the non-negative risk with logistic loss.
+
+    ``p`` and ``u`` are matrices of positives and unlabelled rows.
+    """
     n_p, n_u = p[2], u[2]
     weights = np.zeros(size + 1)
     weights[-1] = np.log(prior / (1 - prior))
@@ -211,19 +215,22 @@ def fit(p, u, prior: float, size: int, decay: float = DECAYS[1], steps: int = ST
     def back(m, g):
         return np.append(np.bincount(m[1], g[m[0]], size), g.sum())
 
-    for step in range(1, steps + 1):
+    out = {}
+    for step in range(1, max(STEPS) + 1):
         m_p, m_u = _margin(p, weights), _margin(u, weights)
         s_p, s_u = 1 / (1 + np.exp(-m_p)), 1 / (1 + np.exp(-m_u))
         risk_negative = np.logaddexp(0, m_u).mean() - prior * np.logaddexp(0, m_p).mean()
         g_negative = back(u, s_u / n_u) - back(p, prior * s_p / n_p)
-        if risk_negative >= -SLACK * prior:
+        if risk_negative >= -slack * prior:
             g = back(p, prior * (s_p - 1) / n_p) + g_negative
         else:
             g = -g_negative
         g[:-1] += decay * weights[:-1]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         weights -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return weights
+        if step in STEPS:
+            out[step] = weights.copy()
+    return out
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
