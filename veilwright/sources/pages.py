@@ -24,6 +24,9 @@ from veilwright.schemas import ELEMENT_FIELDS, REGION_FIELDS
 LINE, HEIGHT, ADVANCE = 20, 16, 8
 PAGE_WIDTH, PAGE_HEIGHT = 1280, 720
 
+#: Parsed pages are handed on once their sources have so many characters: as Python objects, regions and words take a hundred times that.
+HELD_CHARACTERS = 1 << 18
+
 _BOX = StructType([StructField(k, DoubleType()) for k in ("x", "y", "width", "height")])
 _WORDS = ArrayType(StructType([StructField("text", StringType()), StructField("bbox", _BOX), StructField("confidence", DoubleType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -196,8 +199,14 @@ def _exploded(pages: DataFrame, key: str, html: str, fields: str, parse) -> Data
 
     def run(batches):
         for batch in batches:
-            parsed = [parse(h) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parsed, row_type)], [kind[0].name, "rows"])
+            begin, held, parsed = 0, 0, []
+            for k, page in enumerate(batch.column(1)):
+                source = page.as_py()
+                parsed.append(parse(source))
+                held += len(source or "")
+                if held >= HELD_CHARACTERS or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(parsed)), pa.array(parsed, row_type)], [kind[0].name, "rows"])
+                    begin, held, parsed = k + 1, 0, []
 
     return rows.mapInArrow(run, schema).select("observation_id", F.inline("rows"))
 
