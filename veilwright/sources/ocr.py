@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilwright.config import DEFAULT, EngineConfig
 from veilwright.functions.text import rescale_confidence, round_half_up, trim
-from veilwright.schemas import BOX, OCR_LINES, WORD
+from veilwright.schemas import OCR_LINES, WORD
 
 
 def normalize_words(raw: DataFrame) -> DataFrame:
@@ -71,6 +71,9 @@ def quality_stats(words: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame
 
 # -------------------------------------------------------------------------------- reading lines
 
+#: Lines are handed on once they hold so many words; as Python objects a word takes about 1 kB.
+HELD_WORDS = 1 << 13
+
 
 class _Row:
     """Words at about one height: their hull and mean height grow as words join."""
@@ -171,19 +174,45 @@ def simple_lines(words: list[dict]) -> list[dict]:
     return lines
 
 
+def _by_observation(batches):
+    """(observation, its words) of batches whose rows are sorted by observation; only one observation is held at a time."""
+    key, words = None, []
+    for batch in batches:
+        for observation, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if words and observation != key:
+                yield key, words
+                words = []
+            key = observation
+            words.append(word)
+    if words:
+        yield key, words
+
+
 def word_lines(words: DataFrame, config: EngineConfig = DEFAULT, builder: Callable = build_lines) -> DataFrame:
-    """observation_id, line_ord, text, bbox, words of word rows; one row-local call an observation."""
-    word = F.struct("text", "bbox", F.col("confidence").cast("double").alias("confidence"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
-    packed = words.groupBy("observation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", word.alias("w")))), lambda x: x["w"]).cast(f"array<{WORD}>").alias("words"))
-    schema = f"observation_id string, lines array<struct<text:string,bbox:{BOX},words:array<{WORD}>>>"
+    """observation_id, line_ord, text, bbox, words of word rows; one row-local call an observation.
+
+    Words reach the workers as sorted rows, not packed by observation: a batch of packed rows has no bound in words.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    line_type = to_arrow_type(words.sparkSession.createDataFrame([], schema).schema["lines"].dataType)
+    word = F.struct("text", "bbox", F.col("confidence").cast("double").alias("confidence"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    dealt = words.select("observation_id", "ord", word.cast(WORD).alias("word")).repartition("observation_id").sortWithinPartitions("observation_id", "ord", "word")
+    fields = words.sparkSession.createDataFrame([], OCR_LINES).schema.fields
+    kinds, names = [to_arrow_type(f.dataType) for f in fields], [f.name for f in fields]
 
-    def run(batches):
-        for batch in batches:
-            built = [builder(w) if builder is simple_lines else builder(w, config) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(built, line_type)], ["observation_id", "lines"])
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names)
 
-    out = packed.mapInArrow(run, schema).select("observation_id", F.posexplode("lines").alias("line_ord", "line"))
-    return out.select("observation_id", "line_ord", "line.text", "line.bbox", "line.words").to(words.sparkSession.createDataFrame([], OCR_LINES).schema)
+    def run(batches):
+        rows, held = [], 0
+        for observation, own in _by_observation(batches):
+            built = builder(own) if builder is simple_lines else builder(own, config)
+            rows += [(observation, k, line["text"], line["bbox"], line["words"]) for k, line in enumerate(built)]
+            held += len(own)
+            if held >= HELD_WORDS and rows:
+                yield packed(rows)
+                rows, held = [], 0
+        if rows:
+            yield packed(rows)
+
+    return dealt.select("observation_id", "word").mapInArrow(run, OCR_LINES)
